@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, toxicity
+from . import langid, packing, simhash, suffixdedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", (_remainder(3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "phrases")
 
 
+def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op3_suffixdedup": op3_suffixdedup,
     "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
