@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, simhash, sql, suffixdedup, toxicity
+from . import covertree, decontam, langid, packing, simhash, sql, suffixdedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cos_min=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", "containment")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op3_suffixdedup": op3_suffixdedup,
     "op5_packing": op5_packing,
+    "op6_covertree": op6_covertree,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
@@ -72,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB's equivalents, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
+    "op6_covertree": op6_covertree,
     "op7_decontam": sql.OP7,
 }

@@ -165,7 +165,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys of a sorted partition, whole."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
