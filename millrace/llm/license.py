@@ -209,13 +209,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", book:
     rows = rows.select("row", "id", n_words.alias("n_words"), F.when(gate, exact).alias("text"))
     word = F.split("text", " ")
 
+    def stands(parts: list[str]):
+        # The text's words stand from the second place on, so that places count from 1 and words from 0.
+        return lambda i: _all([F.get(F.col("words"), i + k) == p for k, p in enumerate(parts)])
+
+    def placed(label: str, n: int):
+        return lambda i: F.struct((i - 1).cast("long").alias("a"), (i + (n - 2)).cast("long").alias("z"), F.lit(label).alias("label"))
+
     places = []
     for phrase, label in base.items():
         parts = phrase.split(" ")
-        # The text's words stand from the second place on, so that places count from 1 and words from 0.
-        here = lambda i, parts=parts: _all([F.get(F.col("words"), i + k) == p for k, p in enumerate(parts)])
-        found = F.when(F.col("text").contains(f" {phrase} "), F.filter(F.sequence(F.lit(1), F.size("words") - 1), here))
-        places.append(F.transform(F.coalesce(found, F.array().cast("array<int>")), lambda i, label=label, n=len(parts): F.struct((i - 1).cast("long").alias("a"), (i + n - 2).cast("long").alias("z"), F.lit(label).alias("label"))))
+        found = F.when(F.col("text").contains(f" {phrase} "), F.filter(F.sequence(F.lit(1), F.size("words") - 1), stands(parts)))
+        places.append(F.transform(F.coalesce(found, F.array().cast("array<int>")), placed(label, len(parts))))
 
     # No array constructor per row: the rules are one literal.
     table = F.expr("array(" + ",".join(f"named_struct('keyword',{_quoted(r.keyword)},'label',{_quoted(r.label)},'priority',{r.priority},'rule',{i},'pattern',{_quoted(' ' + r.pattern.strip() + '(?= )')})" for i, r in enumerate(book)) + ")") if book else None

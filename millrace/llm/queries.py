@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, langid, packing, simhash, sql, suffixdedup, toxicity
+from . import covertree, decontam, langid, license, packing, simhash, sql, suffixdedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op3_suffixdedup": op3_suffixdedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_license": op10_license,
 }
 
 #: DuckDB's equivalents, where SQL can express them.
