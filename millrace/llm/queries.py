@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, langid, license, packing, simhash, sql, suffixdedup, toxicity
+from . import covertree, decontam, langid, license, linededup, packing, simhash, sql, suffixdedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", (_remainder(3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "phrases")
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -72,6 +77,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_linededup": op2_linededup,
     "op3_suffixdedup": op3_suffixdedup,
     "op5_packing": op5_packing,
     "op6_covertree": op6_covertree,
@@ -84,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB's equivalents, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op6_covertree": op6_covertree,
+    "op2_linededup": sql.OP2,
     "op7_decontam": sql.OP7,
 }
