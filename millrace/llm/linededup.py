@@ -49,7 +49,7 @@ def _words(key: Column) -> Column:
     return F.when(key == "", 0).otherwise(F.size(F.split(key, f"[{BLANK}]+")))
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
+def row_key(id_col: str, text_col: str) -> list[Column]:
     """Rows in their order: by id (null first), then by the text's CRC-32, which tells rows with one id apart."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("of"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")]
 
@@ -57,7 +57,7 @@ def _row_key(id_col: str, text_col: str) -> list[Column]:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(of, crc, a, z): lines a to z of a row, counted from 0, stand earlier too; runs of a row do not touch."""
     keys = F.transform(lines_of(F.col(text_col)), _key)
-    rows = docs.select(*_row_key(id_col, text_col), keys.alias("keys"))
+    rows = docs.select(*row_key(id_col, text_col), keys.alias("keys"))
     rows = rows.select("of", "crc", F.transform("keys", _hash).alias("h"), F.transform("keys", _words).alias("w")).withColumn("last", F.size("h") - 1)
     gram = lambda i: F.shiftleft(F.get(F.col("h"), i).bitwiseAND(F.lit(_LOW)), 3).bitwiseXOR(F.get(F.col("h"), i + 1))
     rows = rows.withColumn("g", F.when(F.col("last") > 0, F.transform(F.sequence(F.lit(0), F.col("last") - 1), gram)).otherwise(F.array().cast("array<bigint>")))
@@ -94,7 +94,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """
     runs = written(repeated_runs(docs, id_col, text_col, min_words).groupBy("of", "crc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("found")), "runs")
     release(docs.sparkSession)
-    of, crc = _row_key(id_col, text_col)
+    of, crc = row_key(id_col, text_col)
     # Names that no input column has.
     mark = "_" * (1 + max((len(c) for c in docs.columns), default=0))
     found = runs.select(F.col("of").alias(mark + "of"), F.col("crc").alias(mark + "crc"), F.col("found").alias(mark + "found"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, langid, license, linededup, packing, simhash, sql, suffixdedup, toxicity
+from . import covertree, decontam, langid, license, linededup, packing, pii, simhash, sql, suffixdedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_docs(spark, sf_dir))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    digest = F.sha2(pii.joined(F.col("base")).cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), *counts, digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_linededup": op2_linededup,
     "op3_suffixdedup": op3_suffixdedup,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_covertree": op6_covertree,
     "op7_decontam": op7_decontam,
