@@ -290,34 +290,47 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", l
     return model
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, score) and the columns in ``keep``: whole texts, 0 to 1, at least 0.5 means toxic.
+def _scores(model: Model | None, words: Words, column: pa.Array) -> np.ndarray:
+    out = np.zeros(len(column))
+    at = 0
+    while model is not None and at < len(column):
+        first, size, held, profiles = at, 0, [], []
+        while at < len(column) and size < CHUNK:
+            letters = words.letters(column[at].as_py() or "")
+            held.append(_features_of(words, letters))
+            profiles.append(profile(letters))
+            size += len(letters)
+            at += 1
+        logits = scores_of(model, held)
+        out[first:at] = _sigmoid(logits - model.cuts[model.language(np.array(profiles))])
+    return out
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score): whole texts, 0 to 1, at least 0.5 means toxic.
 
     Null texts and texts without a letter get the score of no evidence; without a model every score is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, Words()
+        words = Words()
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            at = 0
-            while model is not None and at < batch.num_rows:
-                first, size, held, profiles = at, 0, [], []
-                while at < batch.num_rows and size < CHUNK:
-                    letters = words.letters(batch.column(1)[at].as_py() or "")
-                    held.append(_features_of(words, letters))
-                    profiles.append(profile(letters))
-                    size += len(letters)
-                    at += 1
-                logits = scores_of(model, held)
-                out[first:at] = _sigmoid(logits - model.cuts[model.language(np.array(profiles))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2:]], names=["id", "score", *keep])
-
-    inner = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    kinds = ", ".join(["id long", "score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return inner.mapInArrow(run, kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, words, batch.column(1)))], names=["id", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+
+
+def clean(docs: DataFrame, model: Model | None, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score less than ``limit``. No shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, words, batch.column(at)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _features_of(words: Words, letters: np.ndarray) -> np.ndarray:

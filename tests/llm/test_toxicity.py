@@ -43,9 +43,10 @@ def test_odd_texts(docs_of, model):
     assert [r["score"] for r in toxicity.score(docs_of([(1, "a")]), None).collect()] == [0.0]
 
 
-def test_kept_columns(docs_of, model):
-    got = toxicity.score(docs_of([(1, "a")]), model, keep=["doc_id", "text", "n_chars"])
-    assert got.columns == ["id", "score", "doc_id", "text", "n_chars"] and got.first()["text"] == "a"
+def test_clean_keeps_columns(docs_of, model):
+    docs = docs_of([(1, "tree river"), (2, "snotnose blockhead snotnose"), (3, None)])
+    got = toxicity.clean(docs, model)
+    assert got.columns == docs.columns and [r["doc_id"] for r in got.collect()] == [1, 3]
 
 
 def test_parts_give_the_same_scores(model, monkeypatch):
