@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,7 +120,7 @@ def parents_to_sync(leases: DataFrame, synced: DataFrame) -> DataFrame:
 
 def generations(shards: DataFrame, limit: int = 100) -> DataFrame:
     """(id, generation): roots are 0, a child comes one after its latest parent. Parents that are no shards do not count."""
-    name = "lineage_" + str(abs(hash((id(shards), limit))))
+    name = f"lineage_{uuid.uuid4().hex}"
     shards.select("id", "parents").createOrReplaceTempView(name)
     return shards.sparkSession.sql(f"""
         WITH RECURSIVE links AS (
