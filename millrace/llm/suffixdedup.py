@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import shuffle_width, written
+from ._store import shuffle_width, shuffled, written
 from .simhash import _groups
 
 LENGTH = 100
@@ -39,8 +39,9 @@ CHUNK = 1 << 21
 SAMPLE = 2000
 FREQUENT = 0.005
 SLOT = 24
-#: Buckets for each shuffle partition.
+#: Buckets for each shuffle partition; bytes of contexts that are gathered before they are compressed.
 SPREAD = 4
+GATHER = 1 << 26
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -191,12 +192,42 @@ def _later(doc: np.ndarray, version: np.ndarray, start: np.ndarray, leaf: np.nda
     return which[(doc[which] != doc[first]) | (version[which] != version[first]) | (start[which] != start[first])]
 
 
+_NONE = np.zeros((0, 4), np.int64)
 _FIELDS = (("doc", np.int64), ("version", np.uint32), ("start", np.int64), ("windows", np.uint8), ("rel", np.uint8))
 
 
-def _pack(fields: dict[str, np.ndarray], strings: np.ndarray, gone: np.ndarray) -> bytes:
-    head = np.array([len(fields["doc"]), len(gone)], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(fields[k].astype(t).tobytes() for k, t in _FIELDS) + gone.astype(np.int64).tobytes() + strings.tobytes(), 3)
+class Blobs:
+    """Contexts and found spans by bucket, gathered until there is enough of them to compress well."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, bucket: int, fields: dict[str, np.ndarray], strings: np.ndarray, gone: np.ndarray) -> None:
+        self.held.setdefault(bucket, []).append(({k: fields[k].astype(t) for k, t in _FIELDS}, strings, gone))
+        self.size += len(strings) + gone.nbytes
+
+    def take(self) -> Iterator[tuple[int, bytes]]:
+        for bucket, parts in self.held.items():
+            gone = np.concatenate([p[2] for p in parts])
+            head = np.array([sum(len(p[0]["doc"]) for p in parts), len(gone)], np.int64).tobytes()
+            fields = [p[0][k].tobytes() for k, _ in _FIELDS for p in parts]
+            yield bucket, zstandard.compress(b"".join([head, *fields, gone.astype(np.int64).tobytes(), *(p[1].tobytes() for p in parts)]), 6)
+        self.held, self.size = {}, 0
+
+
+def _merged(doc: np.ndarray, version: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Rows (doc, version, start, stop) in which spans that touch are one; all of a kind of equal order."""
+    order = np.lexsort((start, version, doc))
+    rows = np.stack([doc[order], version[order].astype(np.int64), start[order], stop[order]], axis=1)
+    if not len(rows):
+        return rows
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] > rows[:-1, 3])
+    first = np.flatnonzero(new)
+    out = rows[first]
+    out[:, 3] = np.maximum.reduceat(rows[:, 3], first)
+    return out
 
 
 def _unpack(blob: bytes, length: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -211,8 +242,8 @@ def _unpack(blob: bytes, length: int) -> tuple[dict[str, np.ndarray], np.ndarray
     return fields, np.frombuffer(raw, np.uint8, len(raw) - at, at), gone
 
 
-def cut(pieces: list[tuple[int, int, int, bytes]], anchors: Anchors, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) of the contexts of (doc, version, offset, bytes) pieces; of equal contexts only the first is sent on."""
+def cut(pieces: list[tuple[int, int, int, bytes]], anchors: Anchors, buckets: int, into: Blobs) -> None:
+    """Contexts of (doc, version, offset, bytes) pieces, by bucket; of equal contexts only the first is sent on."""
     length = anchors.length
     ends = np.cumsum([len(p[3]) for p in pieces])
     buf = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
@@ -236,15 +267,15 @@ def cut(pieces: list[tuple[int, int, int, bytes]], anchors: Anchors, buckets: in
     sent = leaf == np.arange(len(starts))
     later = _later(doc, version, start, leaf, np.flatnonzero(~sent))
     bucket = ((gram >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    gone = np.stack([doc[later], version[later].astype(np.int64), start[later], start[later] + sizes[later] - 1 + length], axis=1)
     keep = np.flatnonzero(sent)
     keep = keep[np.argsort(bucket[keep], kind="stable")]
-    lost = np.argsort(bucket[later], kind="stable")
-    gone, lost_in, kept_in = gone[lost], bucket[later][lost], bucket[keep]
-    for b in np.unique(bucket).tolist():
-        own = keep[np.searchsorted(kept_in, b) : np.searchsorted(kept_in, b, "right")]
+    for own in np.split(keep, np.flatnonzero(np.diff(bucket[keep])) + 1):
         fields = {"doc": doc[own], "version": version[own], "start": start[own], "windows": sizes[own], "rel": (anchor - starts)[own]}
-        yield b, _pack(fields, _gather(buf, starts[own], sizes[own] - 1 + length)[:-8], gone[np.searchsorted(lost_in, b) : np.searchsorted(lost_in, b, "right")])
+        into.add(int(bucket[own[0]]), fields, _gather(buf, starts[own], sizes[own] - 1 + length)[:-8], _NONE)
+    gone = _merged(doc[later], version[later], start[later], start[later] + sizes[later] - 1 + length)
+    if len(gone):
+        none = np.zeros(0, np.int64)
+        into.add(int(gone[0, 0] % buckets), dict.fromkeys((k for k, _ in _FIELDS), none), none.view(np.uint8), gone)
 
 
 def repeats(blobs: list[bytes], length: int, gram: int) -> np.ndarray:
@@ -322,14 +353,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = SPREAD * shuffle_width(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, gram, frequent.value)
+        anchors, blobs = Anchors(length, gram, frequent.value), Blobs()
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for b, blob in cut(held, anchors, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
-            held.clear()
+        def flush(enough: int) -> Iterator[pa.RecordBatch]:
+            if held:
+                cut(held, anchors, buckets, blobs)
+                held.clear()
+            if blobs.size >= enough:
+                for b, blob in blobs.take():
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -341,9 +375,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     held.append((NO_ID if i is None else i, version, a, raw[a : a + CHUNK + length - 1]))
                     size += len(held[-1][3])
                     if size >= CHUNK:
-                        yield from flush()
+                        yield from flush(GATHER)
                         size = 0
-        yield from flush()
+        yield from flush(0)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "bucket"):
@@ -366,7 +400,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     listed = gone.groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"))
-    joined = rows.join(listed.withColumnRenamed("id", "of"), (F.col("key") == F.col("of")) & (F.col("crc") == F.col("version")), "left").select("id", "text", F.col("found.start").alias("start"), F.col("found.stop").alias("stop"))
+    joined = rows.join(shuffled(listed.withColumnRenamed("id", "of")), (F.col("key") == F.col("of")) & (F.col("crc") == F.col("version")), "left").select("id", "text", F.col("found.start").alias("start"), F.col("found.stop").alias("stop"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,7 +75,9 @@ def test_buckets_match_brute_force(seed, monkeypatch):
         for i, t in rows[at : at + 7]:
             raw = t.encode()
             pieces += [(i, zlib.crc32(raw), a, raw[a : a + 300 + 39]) for a in range(0, max(1, len(raw) - 39), 300)]
-        for b, blob in suffixdedup.cut(pieces, anchors, 5):
+        into = suffixdedup.Blobs()
+        suffixdedup.cut(pieces, anchors, 5, into)
+        for b, blob in into.take():
             blobs.setdefault(b, []).append(blob)
     gone = {i: np.zeros(len(t.encode()), bool) for i, t in rows}
     for b in blobs.values():
