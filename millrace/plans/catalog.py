@@ -344,8 +344,7 @@ WITH RECURSIVE {d.SHARDS}, walk(id, generation) AS (
 ) SELECT id, max(generation) AS generation FROM walk GROUP BY id
 """)
 def lineage_generation(spark, sf):
-    # Each level of the recursion reads the graph again.
-    return lineage.generations(d.shards(spark, sf).cache())
+    return lineage.generations(d.shards(spark, sf))
 
 
 @_query(f"""
@@ -383,7 +382,7 @@ WITH RECURSIVE {d.SHARDS}, walk(id, generation) AS (
 SELECT c.shard_id, c.seq, g.generation, CAST(row_number() OVER (PARTITION BY c.shard_id ORDER BY length(c.seq), c.seq) AS BIGINT) AS place FROM change_log c JOIN depth g ON g.id = c.shard_id
 """)
 def topological_drain(spark, sf):
-    found = lineage.delivery_order(d.change_log(spark, sf), d.shards(spark, sf).cache())
+    found = lineage.delivery_order(d.change_log(spark, sf), d.shards(spark, sf))
     return found.select("shard_id", "seq", "generation", F.col("place").cast("long").alias("place"))
 
 
