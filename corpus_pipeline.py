@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, linededup, packing, simhash, toxicity
-from millrace.llm._store import release, written
+from millrace.llm._store import shuffled, written
 from millrace.llm.queries import toxicity_model
 from millrace.session import ship_package
 
@@ -36,8 +36,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ship_package(spark)
     groups = simhash.simhash_groups(docs)
     kept = written(groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id")).distinct(), "kept")
-    release(spark)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return docs.join(shuffled(kept), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,5 +71,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, shuffled, written
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -16,7 +16,7 @@ def _checksum(edges: DataFrame) -> tuple:
 def _star(directed: DataFrame) -> DataFrame:
     """For each u, link all its listed neighbours to the smallest of them and u itself."""
     least = directed.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return directed.join(least, "u")
+    return directed.join(shuffled(least), "u")
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _star(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "edges")
+        old, now = now, written(small.where("u <> v").distinct(), "edges")
+        discard(old)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import shuffle_width, written
+from ._store import shuffle_width, shuffled, written
 from .simhash import Forest, _groups
 
 #: Classes of a block; centres that classes are dealt to, at most, and classes among which they are chosen.
@@ -74,10 +74,19 @@ class CoverTree:
                     level.append(r)
                 last[at] = len(lo)
             at += 1
-        self.order, self.unit, self.raw = order, unit[order], vectors[order]
+        self.order, self.raw = order, vectors[order]
+        self.unit = unit[order]
         self.lo, self.hi, self.first, self.last = (np.array(x, np.int64) for x in (lo, hi, first, last))
         self.radius = np.array(radius)
 
+    def __getstate__(self) -> dict:
+        """What travels: unit vectors follow from the vectors."""
+        return {k: v for k, v in self.__dict__.items() if k != "unit"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.unit = self.raw / np.linalg.norm(self.raw, axis=1, keepdims=True)
+
     @staticmethod
     def _greedy(points: np.ndarray, r: float) -> np.ndarray:
         """Child of each point: in order, a point that no child's centre covers becomes a centre."""
@@ -239,10 +248,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     got = written(got, "links")
     counts = got.where("count is not null").groupBy("least", "h").agg(F.sum("count").alias("count"))
     comp = components(got.where("other is not null").select("least", "other"), "least", "other")
-    of_class = classes.join(counts, ["least", "h"], "left").join(comp, F.col("least") == F.col("id"), "left")
+    of_class = classes.join(shuffled(counts), ["least", "h"], "left").join(shuffled(comp), F.col("least") == F.col("id"), "left")
     of_class = of_class.select("vec", (F.coalesce("count", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     alone = all_rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return all_rows.where("vec is not null").join(of_class, "vec").select("id", "n_links", "component").unionByName(alone)
+    return all_rows.where("vec is not null").join(shuffled(of_class), "vec").select("id", "n_links", "component").unionByName(alone)
 
 
 def _links(spark, classes: DataFrame, n: int, cos_min: float, block: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import shuffle_width, written
+from ._store import shuffle_width, shuffled, written
 
 #: Fingerprints from which vantage points are chosen.
 SAMPLE = 16000
@@ -222,7 +222,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = links(distinct.select("fp"), radius)
     named = distinct.select("fp", "least")
-    by_id = found.join(named.withColumnsRenamed({"fp": "a", "least": "u"}), "a").join(named.withColumnsRenamed({"fp": "b", "least": "v"}), "b")
+    by_id = found.join(shuffled(named.withColumnsRenamed({"fp": "a", "least": "u"})), "a").join(shuffled(named.withColumnsRenamed({"fp": "b", "least": "v"})), "b")
     comp = components(by_id.select("u", "v"))
-    classes = written(named.join(comp, named["least"] == comp["id"], "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
-    return marked.join(classes, "fp", "left").select("id", "fp", "component")
+    classes = written(named.join(shuffled(comp), named["least"] == comp["id"], "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    return marked.join(shuffled(classes), "fp", "left").select("id", "fp", "component")
