@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import release, written
+from ._store import discard, shuffled, written
 
 #: Words of a repeated run that is deleted, and of a line that is a fingerprint by itself.
 MIN_WORDS = 20
+#: Fingerprints of more than this part of all positions are frequent; there cannot be more of them than this.
+SHARE = 2000
 #: After what a line ends; it keeps its end.
 ENDS = ("\n", ". ", "! ", "? ")
 CUT = "\x01"
@@ -55,7 +57,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(of, crc, a, z): lines a to z of a row, counted from 0, stand earlier too; runs of a row do not touch."""
+    """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that stand earlier too; runs of a row do not touch."""
     keys = F.transform(lines_of(F.col(text_col)), _key)
     rows = docs.select(*row_key(id_col, text_col), keys.alias("keys"))
     rows = rows.select("of", "crc", F.transform("keys", _hash).alias("h"), F.transform("keys", _words).alias("w")).withColumn("last", F.size("h") - 1)
@@ -68,9 +70,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = lambda value, n: lambda i: F.struct(value(i).alias("fp"), i.alias("a"), (i + (n - 1)).alias("z"), F.when(i > 0, F.get(F.col("h"), F.greatest(i - 1, F.lit(0)))).alias("before"), F.get(F.col("h"), i + n).alias("after"))
     pairs = F.transform(F.filter(every, lambda i: (i < F.size("g")) & least(i)), place(g, 2))
     long = F.transform(F.filter(every, lambda i: F.get(F.col("w"), i) >= min_words), place(lambda i: -1 - F.get(F.col("h"), i), 1))
-    prints = rows.select("of", "crc", F.explode(F.concat(pairs, long)).alias("p")).select("of", "crc", "p.*")
-    first = prints.groupBy("fp").agg(F.min(F.struct("of", "crc", "a", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = prints.join(first, "fp").where((F.col("of") != F.col("first.of")) | (F.col("crc") != F.col("first.crc")) | (F.col("a") != F.col("first.a")))
+    prints = written(rows.select("of", "crc", F.explode(F.concat(pairs, long)).alias("p")).select("of", "crc", "p.*"), "prints")
+    first = written(prints.groupBy("fp").agg(F.min(F.struct("of", "crc", "a", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    # A fingerprint of a notable share of all positions would be one task's work: there are at most SHARE such, so
+    # their first positions are broadcast, and only the others are joined by a shuffle.
+    frequent = max(1000, -(-prints.count() // SHARE))
+    hot, cold = F.broadcast(first.where(F.col("n") >= frequent)), first.where(F.col("n") < frequent)
+    joined = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(shuffled(cold), "fp"))
+    met = joined.where((F.col("of") != F.col("first.of")) | (F.col("crc") != F.col("first.crc")) | (F.col("a") != F.col("first.a")))
     spans = met.select(
         "of",
         "crc",
@@ -81,7 +88,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_row = Window.partitionBy("of", "crc").orderBy("a", "z")
     begun = spans.distinct().withColumn("reach", F.max("z").over(of_row.rowsBetween(Window.unboundedPreceding, -1)))
     numbered = begun.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach") + 1, 0).otherwise(1)).over(of_row))
-    return numbered.groupBy("of", "crc", "run").agg(F.min("a").alias("a"), F.max("z").alias("z")).drop("run")
+    runs = numbered.groupBy("of", "crc", "run").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    found = written(runs.groupBy("of", "crc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("found")), "runs")
+    discard(prints, first)
+    return found
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -92,13 +102,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     earlier, and rows that agree in both are one text and judged alike. A null text has no run and stays null; an empty
     table gives an empty result.
     """
-    runs = written(repeated_runs(docs, id_col, text_col, min_words).groupBy("of", "crc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("found")), "runs")
-    release(docs.sparkSession)
+    runs = repeated_runs(docs, id_col, text_col, min_words)
     of, crc = row_key(id_col, text_col)
     # Names that no input column has.
     mark = "_" * (1 + max((len(c) for c in docs.columns), default=0))
     found = runs.select(F.col("of").alias(mark + "of"), F.col("crc").alias(mark + "crc"), F.col("found").alias(mark + "found"))
-    joined = docs.join(found, (of == F.col(mark + "of")) & (crc == F.col(mark + "crc")), "left")
+    joined = docs.join(shuffled(found), (of == F.col(mark + "of")) & (crc == F.col(mark + "crc")), "left")
     lines = F.col(mark + "lines")
     words = lambda r: F.aggregate(F.slice(lines, r["a"] + 1, r["z"] - r["a"] + 1), F.lit(0), lambda n, x: n + _words(_key(x)))
     joined = joined.withColumn(mark + "lines", lines_of(F.col(text_col))).withColumn(mark + "runs", F.filter(F.coalesce(F.col(mark + "found"), F.array().cast("array<struct<a:int,z:int>>")), lambda r: words(r) >= min_words))
