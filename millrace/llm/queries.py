@@ -97,7 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB's equivalents, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
-    "op6_covertree": op6_covertree,
     "op2_linededup": sql.OP2,
     "op7_decontam": sql.OP7,
 }
