@@ -23,6 +23,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 
 class Rule(NamedTuple):
+    #: Stands in every text that the pattern matches.
     keyword: str
     label: str
     #: 3: license with its version; 2: license; 1: a hint.
@@ -43,7 +44,8 @@ def _version(v: str) -> str:
 
 #: Keyword, label, names (regular expressions over words), versions.
 FAMILIES = (
-    ("apache", "apache", (r"apache (?:software )?licen[sc]e", r"apache", r"asl"), ("1.0", "1.1", "2.0")),
+    ("apache", "apache", (r"apache (?:software )?licen[sc]e", r"apache"), ("1.0", "1.1", "2.0")),
+    ("asl", "apache", (r"asl",), ("1.0", "1.1", "2.0")),
     ("mozilla", "mpl", (r"mozilla public licen[sc]e",), ("1.0", "1.1", "2.0")),
     ("mpl", "mpl", (r"mpl",), ("1.0", "1.1", "2.0")),
     ("eclipse", "epl", (r"eclipse public licen[sc]e",), ("1.0", "2.0")),
@@ -67,7 +69,7 @@ FAMILIES = (
     ("ibm public", "ipl", (r"ibm public licen[sc]e",), ("1.0",)),
     ("lucent", "lpl", (r"lucent public licen[sc]e",), ("1.0", "1.02")),
     ("sun public", "spl", (r"sun public licen[sc]e",), ("1.0",)),
-    ("qt public", "qpl", (r"q(?:t )?public licen[sc]e",), ("1.0",)),
+    ("public licen", "qpl", (r"qt? public licen[sc]e",), ("1.0",)),
     ("reciprocal public", "rpl", (r"reciprocal public licen[sc]e",), ("1.1", "1.5")),
     ("latex", "lppl", (r"latex project public licen[sc]e",), ("1.0", "1.1", "1.2", "1.3")),
     ("mulan", "mulan", (r"mulan (?:permissive software|psl) ?(?:licen[sc]e)?",), ("1.0", "2.0")),
@@ -77,7 +79,7 @@ FAMILIES = (
     ("server side public", "sspl", (r"server side public licen[sc]e",), ("1.0",)),
     ("elastic", "elastic", (r"elastic licen[sc]e",), ("2.0",)),
     ("polyform", "polyform", (r"polyform (?:noncommercial|small business|shield|perimeter|strict)(?: licen[sc]e)?",), ("1.0",)),
-    ("upl", "upl", (r"universal permissive licen[sc]e",), ("1.0",)),
+    ("universal permissive", "upl", (r"universal permissive licen[sc]e",), ("1.0",)),
     ("ncsa", "ncsa", (r"(?:university of illinois )?ncsa(?: open source)? licen[sc]e",), ()),
     ("w3c", "w3c", (r"w3c (?:software )?(?:notice and )?(?:document )?licen[sc]e",), ()),
     ("intel open source", "intel", (r"intel open source licen[sc]e",), ()),
@@ -147,14 +149,14 @@ SINGLE = (
     Rule("proprietary", "proprietary", 1, r"proprietary and confidential"),
     Rule("proprietary", "proprietary", 1, r"(?:this is )?proprietary (?:software|information|material)"),
     Rule("unauthorized", "proprietary", 1, r"unauthorized (?:copying|use|reproduction|distribution)"),
-    Rule("without permission", "proprietary", 1, r"(?:reproduced|copied|distributed|used) (?:\w+ ){0,4}without (?:\w+ ){0,2}permission"),
+    Rule("permission", "proprietary", 1, r"(?:reproduced|copied|distributed|used) (?:\w+ ){0,4}without (?:\w+ ){0,2}permission"),
     Rule("no part of", "proprietary", 1, r"no part of this (?:publication|work|book|document) may be reproduced"),
     Rule("some rights reserved", "some-rights", 1, r"some rights reserved"),
     Rule("no rights reserved", "no-rights", 1, r"no rights reserved"),
     Rule("copyright", "copyright", 1, r"copyright (?:c )?(?:\d{4} )+"),
     Rule("copyleft", "copyleft", 1, r"copyleft"),
     Rule("open source licen", "open-source", 1, r"open source licen[sc]e"),
-    Rule("licensed under", "licensed", 1, r"licen[sc]ed under(?: the)?"),
+    Rule("ed under", "licensed", 1, r"licen[sc]ed under(?: the)?"),
     Rule("released under", "licensed", 1, r"released under(?: the)?"),
     Rule("distributed under", "licensed", 1, r"distributed under(?: the)?"),
     Rule("spdx", "spdx", 1, r"spdx licen[sc]e identifier"),

@@ -1,5 +1,8 @@
+import itertools
 import random
 import re
+from re import _constants as rc
+from re import _parser as rp
 
 import pytest
 
@@ -73,3 +76,39 @@ def test_own_rules(docs_of, book):
     got = got_of(lic.scan(docs_of(rows), book=book))
     for i, t in rows:
         assert got[i] == brute(t, book)
+
+
+def expansions(tree):
+    """What a parsed pattern matches: each alternative, an optional part absent and present, a repeated one at its least and once more."""
+    parts = []
+    for op, arg in tree:
+        if op is rc.LITERAL:
+            parts.append([chr(arg)])
+        elif op is rc.IN:
+            parts.append([chr(a) if o is rc.LITERAL else {rc.CATEGORY_DIGIT: "2", rc.CATEGORY_WORD: "w"}[a] for o, a in arg])
+        elif op is rc.SUBPATTERN:
+            parts.append(expansions(arg[-1]))
+        elif op is rc.BRANCH:
+            parts.append([x for branch in arg[1] for x in expansions(branch)])
+        else:
+            assert op is rc.MAX_REPEAT, op
+            inner = expansions(arg[2])
+            parts.append([x * n for n in sorted({arg[0], min(arg[0] + 1, arg[1])}) for x in inner])
+    return sorted({"".join(x) for x in itertools.product(*parts)})
+
+
+def test_keywords_stand_in_every_match():
+    for r in lic.rules():
+        assert all(r.keyword in x for x in expansions(rp.parse(r.pattern))), r
+
+
+def test_keywords_drop_no_match(docs_of):
+    """Against a brute force without the gate."""
+    book, r = lic.rules(), random.Random(5)
+    texts = ["Universal Permissive License 1.0", "the Q Public License", "ASL 2.0", "licenced under X", "reproduced without prior permission", "UPL"]
+    texts += [x for rule in book for e in [expansions(rp.parse(rule.pattern))] for x in r.sample(e, min(3, len(e)))]
+    got = got_of(lic.scan(docs_of(list(enumerate(texts)))))
+    open_book = [x._replace(keyword="") for x in book]
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t, open_book), t
+    assert [got[i][5] for i in range(5)] == ["upl-1.0", "qpl", "apache-2.0", "licensed", "proprietary"]
