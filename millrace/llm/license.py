@@ -153,7 +153,7 @@ SINGLE = (
     Rule("no part of", "proprietary", 1, r"no part of this (?:publication|work|book|document) may be reproduced"),
     Rule("some rights reserved", "some-rights", 1, r"some rights reserved"),
     Rule("no rights reserved", "no-rights", 1, r"no rights reserved"),
-    Rule("copyright", "copyright", 1, r"copyright (?:c )?(?:\d{4} )+"),
+    Rule("copyright", "copyright", 1, r"copyright (?:c )?\d{4}(?: \d{4})*"),
     Rule("copyleft", "copyleft", 1, r"copyleft"),
     Rule("open source licen", "open-source", 1, r"open source licen[sc]e"),
     Rule("ed under", "licensed", 1, r"licen[sc]ed under(?: the)?"),

@@ -112,3 +112,19 @@ def test_keywords_drop_no_match(docs_of):
     for i, t in enumerate(texts):
         assert got[i] == brute(t, open_book), t
     assert [got[i][5] for i in range(5)] == ["upl-1.0", "qpl", "apache-2.0", "licensed", "proprietary"]
+
+
+def test_each_rule_matches_its_own_examples(docs_of):
+    """A book of one rule finds what the rule's pattern spells, written as words with single spaces."""
+    for rule in lic.rules():
+        for x in expansions(rp.parse(rule.pattern)):
+            words = " " + " ".join(w for w in GAP.split(x) if w) + " "
+            if words.strip() == x.strip():
+                assert re.search(" " + rule.pattern.strip() + "(?= )", words, re.ASCII), (rule, x)
+    book = lic.rules()
+    texts = [(k, next(x for x in expansions(rp.parse(r.pattern)) if "(" not in x)) for k, r in enumerate(book)]
+    got = got_of(lic.scan(docs_of(texts)))
+    assert all(got[k][7] for k, _ in texts)
+    notices = [(0, "Copyright (c) 2019 Someone"), (1, "Copyright 2019-2021, 2024 X"), (2, "copyright (C) 2020"), (3, "copyright 12345")]
+    got = got_of(lic.scan(docs_of(notices)))
+    assert [got[i][5:] for i in range(4)] == [("copyright", 0.5, [(0, 2, "copyright", 1)]), ("copyright", 0.5, [(0, 3, "copyright", 1)]), ("copyright", 0.5, [(0, 2, "copyright", 1)]), ("", 0.0, [])]
