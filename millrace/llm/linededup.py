@@ -5,8 +5,9 @@ lines are hashed; of each two neighbouring pairs the smaller hash is a
 fingerprint, and so is each line that is long enough to be a run by itself. A
 run that occurs earlier and has three lines or a long one is thus sure to share
 a fingerprint. Each later position of a fingerprint is joined with the first
-one and extended both ways by a line, which is as far as a run can go without
-another fingerprint; what touches becomes one run. Runs of at least
+one and extended both ways by a line where that one's neighbours agree. The
+first one can have other neighbours than the text that is repeated, and then
+lines are missed; what touches becomes one run. Runs of at least
 ``min_words`` words are deleted from the later text.
 """
 
