@@ -4,7 +4,9 @@ Which document goes where depends on lengths alone, and there are at most
 ``capacity`` of those. So the plan is made of bin patterns with multiplicities,
 from a histogram with one row per length, whatever the number of documents:
 best fit in decreasing length, then a swap-based local search among the
-underfull bins. Documents take their places by rank within their length.
+underfull bins. Documents take their places by rank within their length. A
+length adds at most four patterns to the plan and an exchange two, so the plan
+that is broadcast has a size that the capacity bounds, not the documents.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import written
+from ._store import shuffled, written
 
 Pattern = tuple[int, ...]
 
-#: Pre-token pattern of byte-level BPE vocabularies of this family; ``encoder`` verifies the outcome.
+#: Pre-token pattern of byte-level BPE vocabularies of this family, and texts on which ``encoder`` verifies the outcome.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBES = ("", " ", "It's we'll  go\n\n\tnow. 12345 x2", "éàü ñandú Ünïcödé — “q” 漢字 😀 é́", "a" * 600, "<|endoftext|> a b \r\n ...!!??", "İıſK 1٣4 _x_ {}[] \x00\x7f")
+PROBES = ("", " ", "<|endoftext", "It's we'll  go\n\n\tnow. 12345 x2", "éàü ñandú Ünïcödé — “q” 漢字 😀 é́", "a" * 600, "<|endoftext|> a b \r\n ...!!??", "İıſK 1٣4 _x_ {}[] \x00\x7f")
 
 
 def _byte_of() -> dict[str, int]:
@@ -40,29 +42,30 @@ def _byte_of() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(spec: str):
-    """Text to ids (numpy uint32) by a tokenizer's JSON text. Strings of special tokens are ordinary text.
+    """Text to ids (numpy uint32) by a tokenizer's JSON text, with ``add_special_tokens=False`` and all else at its defaults.
 
-    Uses a faster encoder of the same vocabulary where it agrees on the probes, else the tokenizer itself.
+    A string of an added token in a text thus gets that token's id. Texts without such a string go to a faster encoder
+    of the same vocabulary where it agrees on the probes; all others go to the tokenizer itself.
     """
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_str(spec)
-    exact.encode_special_tokens = True
 
     def plain(text: str) -> np.ndarray:
         return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
 
-    model = json.loads(spec).get("model", {})
-    if model.get("type") == "BPE" and (json.loads(spec).get("pre_tokenizer") or {}).get("type") == "ByteLevel":
+    layout = json.loads(spec)
+    model = layout.get("model", {})
+    if model.get("type") == "BPE" and not layout.get("normalizer") and (layout.get("pre_tokenizer") or {}).get("type") == "ByteLevel":
         import tiktoken
 
         of = _byte_of()
-        special = {t["content"] for t in json.loads(spec).get("added_tokens", [])}
-        ranks = {bytes(of[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
+        added = [t["content"] for t in layout.get("added_tokens", [])]
+        ranks = {bytes(of[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
         fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def quick(text: str) -> np.ndarray:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            return plain(text) if any(t in text for t in added) else fast.encode_to_numpy(text, disallowed_special=())
 
         if all(np.array_equal(quick(x), plain(x)) for x in PROBES):
             return quick
@@ -128,25 +131,28 @@ def _swapped(p: Pattern, out: Pattern, into: Pattern) -> Pattern:
     return tuple(sorted(rest.elements(), reverse=True))
 
 
-def local_search(bins: Counter[Pattern], capacity: int, rounds: int = 4000, width: int = 60) -> Counter[Pattern]:
+def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """Exchange documents between underfull bins while the sum of squared fills grows; bins that empty are dropped.
 
-    Looks at the ``width`` emptiest kinds of bins in turn against all underfull ones. Stops when the number of bins
-    reaches the bound that the total length sets, when nothing improves, or after ``rounds`` exchanges.
+    Takes the emptiest kind of bin in turn against all underfull ones, the fullest first. Stops when the number of bins
+    reaches the bound that the total length sets, or when no exchange is left: each one raises the sum of squares, so
+    there is an end. Whether two kinds can exchange depends on them alone, so pairs that cannot are looked at once.
     """
     bins = Counter(bins)
-    total = sum(sum(p) * n for p, n in bins.items())
-    for _ in range(rounds):
-        if sum(bins.values()) <= -(-total // capacity):
-            break
+    least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
+    barren: set[tuple[Pattern, Pattern]] = set()
+    while sum(bins.values()) > least:
         open_bins = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
         best = None
-        for a in open_bins[:width]:
+        for a in open_bins:
             for b in reversed(open_bins):
                 n = min(bins[a], bins[b]) if a != b else bins[a] // 2
-                if n and (found := max(_exchanges(a, b, capacity), key=lambda e: sum(e[0]) - sum(e[1]), default=None)):
+                if not n or (a, b) in barren:
+                    continue
+                if found := max(_exchanges(a, b, capacity), key=lambda e: sum(e[0]) - sum(e[1]), default=None):
                     best = (a, b, *found, n)
                     break
+                barren.add((a, b))
             if best:
                 break
         if not best:
@@ -213,15 +219,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     """(id, piece, start, length, crc32, sequence, offset [, ids]), a row per piece.
 
     A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone. Longer ones are cut into
-    pieces of ``capacity``, of which the first may be shorter. Rows with equal ids are packed each for itself. An
-    empty table gives an empty result. ``tokenizer``: path of a tokenizer's JSON file, read by the driver.
+    pieces of ``capacity``, of which the first may be shorter; texts of any length are encoded whole. Rows with equal
+    ids, or a null id, are packed each for itself, and so are repeated rows. Only the two columns named are read, so
+    others may have any name. An empty table gives an empty result. ``tokenizer``: path of a tokenizer's JSON file,
+    read by the driver.
     """
     pieces = written(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
     dealt = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = docs.sparkSession.sparkContext.broadcast(places(local_search(best_fit(counts, capacity), capacity)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(dealt.select("part", "length", before.alias("before")), ["part", "length"])
+    # A row per task and length: that grows with the documents, so the join is a shuffle.
+    ranked = pieces.join(shuffled(dealt.select("part", "length", before.alias("before"))), ["part", "length"])
     kept = ["id", "piece", "start", "length", "crc32", *["ids"] * with_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,14 +14,12 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def rows():
     r = random.Random(3)
-    out = [(0, None), (1, ""), (2, " "), (3, "a\n\n b  c"), (4, "<|endoftext|> é漢😀"), (5, "word " * 5000), (6, "xyz" * 3000)]
+    out = [(0, None), (1, ""), (2, " "), (3, "a\n\n b  c"), (4, "<|endoftext|> é漢😀"), (4, "a<|endoftext|><|endoftext|>b <|endoftext| >"), (5, "word " * 5000), (6, "xyz" * 3000)]
     return out + [(i, " ".join(r.choice(["the", "Ouwhea", "12", "é!"]) for _ in range(r.choice([3, 50, 200, 400, 700])))) for i in range(7, 150)]
 
 
@@ -33,8 +31,16 @@ def test_round_trip(docs_of, tok):
         assert 1 <= r["length"] <= 256 and len(r["ids"]) == r["length"]
         assert r["crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         by.setdefault(r["id"], []).append(r)
+    texts = {}
     for i, text in data:
-        ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
+        texts.setdefault(i, []).append(tok.encode(text or "", add_special_tokens=False).ids + [2])
+    assert [50256] == tok.encode("<|endoftext|>", add_special_tokens=False).ids
+    for i, ids_of in texts.items():
+        if len(ids_of) > 1:
+            # Rows with one id are packed each for itself.
+            assert sorted(r["ids"] for r in by[i]) == sorted(ids_of)
+            continue
+        ids = ids_of[0]
         own = sorted(by[i], key=lambda r: r["piece"])
         assert [r["piece"] for r in own] == list(range(len(own)))
         assert [x for r in own for x in r["ids"]] == ids
