@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from ._store import discard, shuffled, written
 
+#: A node with more than this part of all rows is a hub: there are at most SHARE hubs, however many rows.
+SHARE = 2000
+#: Rows below which no node is a hub.
+LEAST = 256
+
 
 def _checksum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
 
 
-def _star(directed: DataFrame) -> DataFrame:
-    """For each u, link all its listed neighbours to the smallest of them and u itself."""
-    least = directed.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return directed.join(shuffled(least), "u")
+def _star(directed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, table to discard): for each u, link all its listed neighbours to the smallest of them and u itself.
+
+    A hub's rows never meet in one task: its smallest neighbour comes from partial aggregates, and is broadcast with
+    those of the other hubs (at most SHARE of them, by construction); only the other nodes are joined by a shuffle.
+    """
+    least = written(directed.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "stars")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    limit = max(LEAST, -(-total // SHARE))
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    rest = directed.join(hubs.select("u"), "u", "left_anti").join(shuffled(least.where(F.col("n") <= limit).select("u", "m")), "u")
+    return directed.join(hubs, "u").unionByName(rest), least
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -33,11 +46,13 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     while (state := _checksum(now)) != before and state[0]:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        old, now = now, written(small.where("u <> v").distinct(), "edges")
-        discard(old)
+        star, spent = _star(both)
+        large = written(star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        discard(now, spent)
+        star, spent = _star(large)
+        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
+        now = written(small.where("u <> v").distinct(), "edges")
+        discard(large, spent)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -1,10 +1,12 @@
 """Exact near-duplicates among embeddings by dual traversal of cover trees.
 
 Equal vectors become one class first. Classes are dealt to the nearest of some
-centres and cut into blocks of bounded size; each block gets a cover tree whose
-levels halve the radius. Pairs of blocks, then pairs of nodes, are pruned where
-the distance of their centres exceeds both covering radii and the threshold's
-distance, and counted as a whole where even the farthest points are within it.
+centres, the top of a cover tree over a sample; neighbouring centres share a
+block, and a centre with more classes than a block holds has several. Each
+block gets a cover tree whose levels halve the radius. Pairs of blocks, then
+pairs of nodes, are pruned where the distance of their centres exceeds both
+covering radii and the threshold's distance, and counted as a whole where even
+the farthest points are within it.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._graph import components
-from ._store import shuffle_width, shuffled, written
+from ._store import discard, shuffle_width, shuffled, written
 from .simhash import Forest, _groups
 
-#: Classes of a block; centres that classes are dealt to, at most, and classes among which they are chosen.
-BLOCK = 4096
+#: Components of a block's vectors; centres that classes are dealt to, at most, and classes among which they are chosen.
+BLOCK = 1 << 20
 CENTRES = 1024
 SAMPLE = 8192
 #: Pairs whose distances are computed at a time.
@@ -37,33 +40,44 @@ def distance(cos: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector (not zero) times the power of two that brings its largest component to between 0.5 and 1: its square is a number."""
+    v = np.asarray(vectors, float)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
+def unit_of(vectors: np.ndarray) -> np.ndarray:
+    v = scaled(vectors)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 class CoverTree:
     """Nodes over contiguous ranges of points; a node's centre is the first point of its range."""
 
     def __init__(self, vectors: np.ndarray, reach: float) -> None:
         n = len(vectors)
-        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = vectors / norm
+        unit = unit_of(vectors)
+        rough = unit.astype(np.float32)
         order = np.arange(n)
         lo, hi, radius, first, last = [0], [n], [0.0], [0], [0]
         level, at = [2.0], 0
         while at < len(lo):
             a, b = lo[at], hi[at]
-            own = unit[order[a:b]]
-            far = distance(own @ own[0])
-            radius[at] = float(far.max())
             first[at] = last[at] = len(lo)
+            if b - a > 1:
+                own = order[a:b]
+                radius[at] = float(distance(unit[own] @ unit[own[0]]).max())
             r = level[at]
             if radius[at] > reach / 4 and b - a > 1:
                 while r >= radius[at]:
                     r /= 2
-                child = self._greedy(own, r)
+                child = self._greedy(rough[own], r)
                 # Levels that hardly gather points are left out.
                 while child.max() + 1 > (b - a) / 2 and r / 2 >= reach:
                     r /= 2
-                    child = self._greedy(own, r)
+                    child = self._greedy(rough[own], r)
                 by = np.argsort(child, kind="stable")
-                order[a:b] = order[a:b][by]
+                order[a:b] = own[by]
                 cuts = [*np.flatnonzero(np.diff(child[by], prepend=-1)).tolist(), b - a]
                 for x, y in zip(cuts, cuts[1:], strict=False):
                     lo.append(a + x)
@@ -75,28 +89,33 @@ class CoverTree:
                 last[at] = len(lo)
             at += 1
         self.order, self.raw = order, vectors[order]
-        self.unit = unit[order]
         self.lo, self.hi, self.first, self.last = (np.array(x, np.int64) for x in (lo, hi, first, last))
         self.radius = np.array(radius)
+        self._ready()
+
+    def _ready(self) -> None:
+        self.unit = unit_of(self.raw)
+        self.rough = self.unit.astype(np.float32)
 
     def __getstate__(self) -> dict:
         """What travels: unit vectors follow from the vectors."""
-        return {k: v for k, v in self.__dict__.items() if k != "unit"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("unit", "rough")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.unit = self.raw / np.linalg.norm(self.raw, axis=1, keepdims=True)
+        self._ready()
 
     @staticmethod
     def _greedy(points: np.ndarray, r: float) -> np.ndarray:
-        """Child of each point: in order, a point that no child's centre covers becomes a centre."""
-        n, made = len(points), 0
-        child = np.full(n, -1)
-        for a in range(0, n, 256):
-            near = distance(points[a : a + 256] @ points.T) <= r
+        """Child of each point: in order, a point that no child's centre covers becomes a centre. Radii are measured later."""
+        made, least = 0, np.float32(1 - r * r / 2)
+        child = np.full(len(points), -1)
+        for a in range(0, len(points), 256):
+            near = points[a : a + 256] @ points.T >= least
             for i in np.flatnonzero(child[a : a + 256] < 0).tolist():
                 if child[a + i] < 0:
-                    child[near[i] & (child < 0)] = made
+                    own = np.flatnonzero(near[i])
+                    child[own[child[own] < 0]] = made
                     child[a + i] = made
                     made += 1
         return child
@@ -120,6 +139,12 @@ def _expand(a: np.ndarray, b: np.ndarray, la: np.ndarray, ha: np.ndarray, lb: np
         yield pair, la[pair] + nth // nb[pair], lb[pair] + nth % nb[pair]
 
 
+def _alike(radius: np.ndarray, lo: int, hi: int, reach: float) -> list[np.ndarray]:
+    """The nodes from lo to hi by their radius: up to a quarter of the reach, up to it, and wider."""
+    kind = np.digitize(radius[lo:hi], [reach / 4, reach], right=True)
+    return [lo + own for k in range(3) if len(own := np.flatnonzero(kind == k))]
+
+
 def dual(one: CoverTree, two: CoverTree, cos_min: float) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """('points', x, y): places of linked pairs; ('nodes', a, b): pairs of nodes all of whose points link.
 
@@ -148,7 +173,7 @@ def dual(one: CoverTree, two: CoverTree, cos_min: float) -> Iterator[tuple[str,
                 cos = np.einsum("ij,ij->i", one.unit[x], two.unit[y])
                 hit = cos >= cos_min
                 for i in np.flatnonzero(np.abs(cos - cos_min) < CLOSE).tolist():
-                    u, v = one.raw[x[i]], two.raw[y[i]]
+                    u, v = scaled(one.raw[x[i]]), scaled(two.raw[y[i]])
                     hit[i] = (u @ v) / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= cos_min
                 if same:
                     hit &= x < y
@@ -161,16 +186,22 @@ def dual(one: CoverTree, two: CoverTree, cos_min: float) -> Iterator[tuple[str,
         lb, hb = np.where(two_leaf[b], b, two.first[b]), np.where(two_leaf[b], b + 1, two.last[b])
         large = (ha - la) * (hb - lb) > 4096
         for k in np.flatnonzero(large).tolist():
-            ys = np.arange(lb[k], hb[k])
-            for s in range(int(la[k]), int(ha[k]), 512):
-                xs = np.arange(s, min(s + 512, int(ha[k])))
-                d = distance(one.unit[one.lo[xs]] @ two.unit[two.lo[ys]].T)
-                i, j = np.nonzero(d <= one.radius[xs][:, None] + two.radius[ys][None, :] + reach + SLACK)
-                ia, ib, na, nb = sift(xs[i], ys[j], d[i, j])
-                if len(ia):
-                    yield "nodes", ia, ib
-                if len(na):
-                    waiting.append((na, nb))
+            for xs in _alike(one.radius, int(la[k]), int(ha[k]), reach):
+                for ys in _alike(two.radius, int(lb[k]), int(hb[k]), reach):
+                    # Single precision, with its slack, leaves out most pairs; the others' distances are computed anew.
+                    widest = one.radius[xs].max() + two.radius[ys].max() + reach + SLACK
+                    least = np.float32(1 - min(widest, 2.0) ** 2 / 2 - (one.unit.shape[1] + 8) * 2.0**-22)
+                    theirs = two.rough[two.lo[ys]].T
+                    for s in range(0, len(xs), 512):
+                        own = xs[s : s + 512]
+                        i, j = np.nonzero(one.rough[one.lo[own]] @ theirs >= least)
+                        for t in range(0, len(i), PAIRS):
+                            p, q = own[i[t : t + PAIRS]], ys[j[t : t + PAIRS]]
+                            ia, ib, na, nb = sift(p, q, distance(np.einsum("ij,ij->i", one.unit[one.lo[p]], two.unit[two.lo[q]])))
+                            if len(ia):
+                                yield "nodes", ia, ib
+                            if len(na):
+                                waiting.append((na, nb))
         small = np.flatnonzero(~large)
         for _, x, y in _expand(a[small], b[small], la[small], ha[small], lb[small], hb[small]) if len(small) else ():
             d = distance(np.einsum("ij,ij->i", one.unit[one.lo[x]], two.unit[two.lo[y]]))
@@ -223,88 +254,120 @@ def _centres(vectors: np.ndarray, n: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+    """Components as they are stored: single precision stays so while it travels."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cos_min: float = 0.95, block: int = BLOCK) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cos_min: float = 0.95, block: int | None = None) -> DataFrame:
     """(id, n_links, component) for each row: n_links counts other rows at a cosine of at least ``cos_min`` (positive).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, like rows without an
-    id; so do vectors of different lengths. Rows with one id are one vertex of the components; each counts as a row in
-    n_links. An empty table gives an empty result.
+    id; so do vectors of different lengths. Components of any finite size count: vectors are scaled by a power of two
+    before they are squared. Rows with one id are one vertex of the components; each counts as a row in n_links. Only
+    the two columns named are read, so others may have any name. An empty table gives an empty result.
+    ``block``: vectors of a block; by default as many as have ``BLOCK`` components.
     """
     spark = rows.sparkSession
-    vec = F.col(vec_col).cast("array<double>")
+    single = isinstance(rows.schema[vec_col].dataType.elementType, T.FloatType)
+    vec = F.col(vec_col).cast("array<float>" if single else "array<double>")
     fine = F.col(id_col).isNotNull() & F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
-    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.when(fine, vec).alias("vec"))
-    classes = written(all_rows.where("vec is not null").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("h", F.xxhash64("vec")), "classes")
+    # Equal vectors meet by 128 bits of hashes, so that vectors travel once, and not again for the result.
+    key = [F.when(fine, F.xxhash64(vec)).alias("h"), F.when(fine, F.xxhash64(F.lit(1), vec)).alias("k")]
+    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.when(fine, vec).alias("vec"), *key)
+    classes = written(all_rows.where("vec is not null").groupBy("h", "k").agg(F.first("vec").alias("vec"), F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    found = [_links(spark, classes.where(F.size("vec") == dim), n, cos_min, block) for dim, n in sorted(sizes.items())]
+    found = [_links(spark, classes.where(F.size("vec") == dim), n, cos_min, block or max(256, BLOCK // dim)) for dim, n in sorted(sizes.items())]
     if not found:
         return all_rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     got = found[0]
     for more in found[1:]:
         got = got.unionByName(more)
     got = written(got, "links")
-    counts = got.where("count is not null").groupBy("least", "h").agg(F.sum("count").alias("count"))
+    counts = got.where("count is not null").groupBy("h", "k").agg(F.sum("count").alias("count"))
     comp = components(got.where("other is not null").select("least", "other"), "least", "other")
-    of_class = classes.join(shuffled(counts), ["least", "h"], "left").join(shuffled(comp), F.col("least") == F.col("id"), "left")
-    of_class = of_class.select("vec", (F.coalesce("count", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
+    of_class = classes.select("h", "k", "least", "n").join(shuffled(counts), ["h", "k"], "left").join(shuffled(comp), F.col("least") == F.col("id"), "left")
+    of_class = written(of_class.select("h", "k", (F.coalesce("count", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component")), "classes")
+    discard(classes, got)
     alone = all_rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return all_rows.where("vec is not null").join(shuffled(of_class), "vec").select("id", "n_links", "component").unionByName(alone)
+    return all_rows.where("vec is not null").select("id", "h", "k").join(shuffled(of_class), ["h", "k"]).select("id", "n_links", "component").unionByName(alone)
+
+
+class Cells:
+    """Centres, how far their classes reach, and the blocks that hold them: ``first`` and how ``many``. At most CENTRES rows."""
+
+    def __init__(self, centres: np.ndarray, size: np.ndarray, radius: np.ndarray, block: int) -> None:
+        # Each centre follows its nearest neighbour among those that are left, so that blocks gather neighbours.
+        order, left = [0], np.ones(len(centres), bool)
+        left[0] = False
+        while left.any():
+            rest = np.flatnonzero(left)
+            nearest = int(rest[(centres[rest] @ centres[order[-1]]).argmax()])
+            order.append(nearest)
+            left[nearest] = False
+        self.centres, self.radius = centres, radius
+        self.first, self.many = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+        at = held = 0
+        for c in order:
+            if held and held + size[c] > block:
+                at, held = at + 1, 0
+            self.first[c], self.many[c] = at, max(1, -(-int(size[c]) // block))
+            held += int(size[c])
+            if self.many[c] > 1:
+                at, held = at + int(self.many[c]), 0
+        self.blocks = at + (held > 0)
+
+    def near(self, block: int, reach: float) -> np.ndarray:
+        """Blocks that can hold a point within reach of one in ``block``, itself among them."""
+        own = np.flatnonzero((self.first <= block) & (block < self.first + self.many))
+        far = distance(self.centres @ self.centres[own].T)
+        hit = np.flatnonzero((far <= self.radius[:, None] + self.radius[own][None, :] + reach + SLACK).any(axis=1))
+        return np.unique(np.concatenate([[block], *(np.arange(self.first[c], self.first[c] + self.many[c]) for c in hit)])).astype(np.int64)
 
 
 def _links(spark, classes: DataFrame, n: int, cos_min: float, block: int) -> DataFrame:
-    """(least, h, count, other): rows linked to a class, and links that join classes. ``classes``: of one length of vectors."""
-    taken = np.array([r["vec"] for r in classes.orderBy("h", "least").limit(min(SAMPLE, 4 * max(1, n // block) + 16)).collect()])
-    centres = _centres(taken / np.linalg.norm(taken, axis=1, keepdims=True), min(CENTRES, -(-n // block)))
+    """(h, k, count, least, other): rows linked to a class, and links that join classes. ``classes``: of one length of vectors."""
+    wanted = 1 if n <= block else min(CENTRES, -(-4 * n // block))
+    taken = unit_of(np.array([r["vec"] for r in classes.orderBy("h", "k").limit(min(SAMPLE, 4 * wanted)).collect()]))
+    centres = _centres(taken, wanted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(0))
-            near = (v / np.linalg.norm(v, axis=1, keepdims=True) @ centres.T).argmax(axis=1) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], names=["vec", "least", "n", "h", "centre"])
-
-    dealt = written(classes.select("vec", "least", "n", "h").mapInArrow(deal, "vec array<double>, least long, n long, h long, centre long"), "dealt")
-    # A centre's classes are cut into as many blocks as keep each to its size.
-    cuts = {r["centre"]: -(-r["count"] // block) for r in dealt.groupBy("centre").count().collect()}
-    base, first = 0, {}
-    for c in sorted(cuts):
-        first[c], base = base, base + cuts[c]
-    where = F.create_map(*[F.lit(x) for c in sorted(cuts) for x in (c, first[c])])
-    parts = F.create_map(*[F.lit(x) for c in sorted(cuts) for x in (c, cuts[c])])
-    cut = dealt.withColumn("block", (where[F.col("centre")] + F.pmod(F.xxhash64("h", "least"), parts[F.col("centre")])).cast("long"))
+            if batch.num_rows:
+                cos = unit_of(_matrix(batch.column(0))) @ centres.T
+                near = cos.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64)), pa.array(distance(cos.max(axis=1)))], names=["vec", "least", "n", "h", "k", "centre", "away"])
+
+    shape = classes.select("vec", "least", "n", "h", "k").schema
+    dealt = written(classes.select(*shape.names).mapInArrow(deal, T.StructType([*shape, T.StructField("centre", T.LongType()), T.StructField("away", T.DoubleType())])), "dealt")
+    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in dealt.groupBy("centre").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect():
+        size[r["centre"]], radius[r["centre"]] = r["n"], r["away"]
+    cells = Cells(centres, size, radius, block)
+    first, many = (F.element_at(F.lit([int(x) for x in own]), (F.col("centre") + 1).cast("int")) for own in (cells.first, cells.many))
+    cut = dealt.withColumn("block", (first + F.pmod(F.xxhash64("k"), many)).cast("long")).drop("centre", "away")
     reach = float(distance(np.float64(cos_min)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "block"):
             group = group.combine_chunks()
-            raw = _matrix(group["vec"].chunk(0))
-            tree = CoverTree(raw, reach)
-            away = distance(tree.unit @ centres[group["centre"][0].as_py()])
-            fields = {k: group[k].to_numpy()[tree.order] for k in ("least", "n", "h")}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([group["block"][0].as_py()], pa.int64()), pa.array([group["centre"][0].as_py()], pa.int64()), pa.array([float(away.max())]), pa.array([pickle.dumps((tree, fields))], pa.binary())],
-                names=["block", "centre", "radius", "tree"],
-            )
-
-    width = max(shuffle_width(spark), min(base, 4096))
-    trees = written(cut.repartition(width, "block").sortWithinPartitions("block").mapInArrow(build, "block long, centre long, radius double, tree binary"), "trees")
-    meta = trees.select("block", "centre", "radius").orderBy("block").collect()
-    at, radius = np.array([r["centre"] for r in meta]), np.array([r["radius"] for r in meta])
-    ids = np.array([r["block"] for r in meta])
-    shared = spark.sparkContext.broadcast((ids, at, radius, centres))
+            tree = CoverTree(_matrix(group["vec"].chunk(0)), reach)
+            fields = {k: group[k].to_numpy()[tree.order] for k in ("least", "n", "h", "k")}
+            yield pa.RecordBatch.from_arrays([pa.array([group["block"][0].as_py()], pa.int64()), pa.array([pickle.dumps((tree, fields))], pa.binary())], names=["block", "tree"])
+
+    width = max(shuffle_width(spark), min(2 * cells.blocks, 4096))
+    trees = written(cut.repartition(width, "block").sortWithinPartitions("block").mapInArrow(build, "block long, tree binary"), "trees")
+    discard(dealt)
+    shared = spark.sparkContext.broadcast(cells)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, radius, centres = shared.value
         for batch in batches:
-            for i, (block, own, r) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                near = ids[distance(centres[at] @ centres[own]) <= radius + r + reach + SLACK]
-                low, high = np.minimum(near, block), np.maximum(near, block)
-                for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{a}-{b}"]), pa.array([block], pa.int64()), batch.column(3).slice(i, 1)], names=["pair", "block", "tree"])
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                for other in shared.value.near(own, reach).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{min(own, other)}-{max(own, other)}"]), pa.array([own], pa.int64()), batch.column(1).slice(i, 1)], names=["pair", "block", "tree"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "k", "count", "least", "other"]
         for group in _groups(batches, "pair"):
             both = [pickle.loads(x) for _, x in sorted(zip(group["block"].to_pylist(), group["tree"].to_pylist(), strict=True), key=lambda p: p[0])]
             (one, f1), (two, f2) = both[0], both[-1]
@@ -312,12 +375,12 @@ def _links(spark, classes: DataFrame, n: int, cos_min: float, block: int) -> Dat
                 two = one
             got1, got2, forest = links_of(one, two, f1["n"], f2["n"], cos_min)
             for f, got in ((f1, got1), (f2, got2))[: len(both)]:
-                k = np.flatnonzero(got)
-                yield pa.RecordBatch.from_arrays([pa.array(f["least"][k]), pa.array(f["h"][k]), pa.array(got[k]), pa.nulls(len(k), pa.int64())], names=["least", "h", "count", "other"])
+                at = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array(f["h"][at]), pa.array(f["k"][at]), pa.array(got[at]), *[pa.nulls(len(at), pa.int64())] * 2], names=names)
             least = f1["least"] if len(both) == 1 else np.concatenate([f1["least"], f2["least"]])
             for i, j in forest.links:
-                yield pa.RecordBatch.from_arrays([pa.array(least[i]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64()), pa.array(least[j])], names=["least", "h", "count", "other"])
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(i), pa.int64())] * 3, pa.array(least[i]), pa.array(least[j])], names=names)
 
-    pairs = trees.select("block", "centre", "radius", "tree").mapInArrow(spread, "pair string, block long, tree binary")
-    met = pairs.repartition(max(shuffle_width(spark), min(base * (base + 1) // 2, 8192)), "pair").sortWithinPartitions("pair")
-    return met.mapInArrow(compare, "least long, h long, count long, other long")
+    pairs = trees.mapInArrow(spread, "pair string, block long, tree binary")
+    met = pairs.repartition(max(shuffle_width(spark), min(2 * cells.blocks * (cells.blocks + 1), 8192)), "pair").sortWithinPartitions("pair")
+    return met.mapInArrow(compare, "h long, k long, count long, least long, other long")

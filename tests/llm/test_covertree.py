@@ -14,9 +14,13 @@ def brute(rows, cos_min):
             x = comp[x]
         return x
 
-    for a, (i, u) in enumerate(fine):
+    for a, (i, first) in enumerate(fine):
         for b, (j, v) in enumerate(fine[:a]):
-            if len(u) == len(v) and u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= cos_min:
+            u = first
+            if len(u) != len(v):
+                continue
+            u, v = u / np.abs(u).max(), v / np.abs(v).max()
+            if u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= cos_min:
                 links[a] += 1
                 links[b] += 1
                 x, y = root(i), root(j)
@@ -54,6 +58,24 @@ def test_matches_brute_force(spark, seed, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_tiny_and_huge_components(spark, block):
+    """The square of such a vector's norm is zero or no number; its links and those of its neighbours count."""
+    rows = vectors(5, 200, 8)
+    rows += [(2000 + k, [x * s for x in rows[k][1]]) for k, s in ((3, 1e-200), (4, 1e200), (5, 1e-300), (6, 5e-324), (7, 1e300))]
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["id"], r["n_links"], r["component"]) for r in covertree.near_vectors(df, block=block).collect())
+    assert got == brute(rows, 0.95)[0]
+
+
+def test_single_precision_column(spark):
+    rows = vectors(6, 200, 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["id"], r["n_links"], r["component"]) for r in covertree.near_vectors(df, block=60).collect())
+    assert got == brute([(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows], 0.95)[0]
+
+
 @pytest.mark.parametrize("cos_min", [0.5, 0.95, 0.999])
 def test_trees_without_spark(cos_min):
     rng = np.random.default_rng(7)
