@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Letters of labelled text per language from which an automaton is built.
-SAMPLE_LETTERS = 60_000
-#: Labelled documents per language that are read for it, at most.
-SAMPLE_DOCS = 200
+#: Pieces of labelled text per language from which an automaton is built, at most, and characters of a piece.
+SAMPLE_PIECES = 150
+PIECE = 400
 #: Letters with a symbol of their own; the others share about a seventh as many.
 OWN_LETTERS = 111
 #: Texts are parsed in blocks of so many letters: a phrase never spans two. All languages see the same blocks.
@@ -151,20 +150,25 @@ def _table(rows: np.ndarray, width: int) -> np.ndarray:
     return table.ravel()
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", letters: int = SAMPLE_LETTERS, docs: int = SAMPLE_DOCS) -> Parser:
-    """Build the automata from a bounded sample: per language at most ``docs`` rows, chosen by a hash of the key, and ``letters`` letters of each.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", pieces: int = SAMPLE_PIECES, size: int = PIECE) -> Parser:
+    """Build the automata from a bounded sample of labelled text.
 
-    Rows with a null text or language are left out. Without a row the parser knows no language.
+    All labelled texts are cut, whole, into rows of ``size`` characters; per language at most ``pieces`` of these rows
+    are read, chosen by a hash of the key and the row's place, so that every part of a text is as likely as any other.
+    Rows with a null text or language are left out. Other columns may have any name. Without a row the parser knows no
+    language.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(lang_col).agg(F.count("*").alias("rows_of_lang"))
-    order = F.xxhash64(F.col(key_col).cast("string"))
-    likely = order.cast("double") / 2.0**64 + 0.5
-    # A hash threshold keeps about 1.5 times the documents asked for; the exact bound is set among these.
-    some = rows.join(F.broadcast(counts), lang_col).where(likely * F.col("rows_of_lang") < 1.5 * docs + 30)
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(order, key_col))
-    # A document gives at most a twentieth of the letters, so that no single one makes up a language.
-    taken = some.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, max(200, letters // 20)).alias("text"), rank.alias("nth")).where(F.col("nth") <= docs)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key_col).cast("string").alias("key")).where("text is not null and lang is not null")
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / size)
+    counts = rows.groupBy("lang").agg(F.sum(last + 1).alias("held"))
+    # A language is a row here, and languages are few; a text travels with the numbers of its rows only.
+    numbered = rows.join(F.broadcast(counts), "lang").select("lang", "key", "text", "held", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
+    order = F.xxhash64("key", "at")
+    # A hash threshold keeps about 1.5 times the rows asked for; the exact bound is set among these.
+    some = numbered.where((order.cast("double") / 2.0**64 + 0.5) * F.col("held") < 1.5 * pieces + 30)
+    some = some.select("lang", "key", "at", F.substring("text", (F.col("at") * size + 1).cast("int"), F.lit(size)).alias("text"), order.alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "at", "text"))
+    taken = some.select("lang", "text", rank.alias("nth")).where(F.col("nth") <= pieces)
     got: dict[str, list[str]] = {}
     for r in taken.orderBy("lang", "nth").collect():
         got.setdefault(r["lang"], []).append(r["text"])
@@ -182,7 +186,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     for lang in parser.languages:
         text: list[int] = []
         for t in got[lang]:
-            text += [0, *parser.symbols(t).tolist()][: letters - len(text)]
+            text += [0, *parser.symbols(t).tolist()]
         parser.automata.append(automaton(text))
         parser.sizes.append(max(2, len(text)))
     parser._tables = None
@@ -194,7 +198,8 @@ def predict(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: s
 
     ``und`` with score 0 for a null text, a text without a letter, or a parser without languages. Equal counts go to
     the first language in alphabetical order. The score is the winner's share after each language's phrases per
-    letter are weighed against the others'.
+    letter are weighed against the others'. Rows are judged each for itself, repeated ones alike; a null id stays null,
+    an empty table gives an empty result, and only the two columns named are read, so others may have any name.
     """
     model = docs.sparkSession.sparkContext.broadcast(parser)
     weights = np.log2(np.array(parser.sizes, float)) if parser.sizes else np.zeros(0)

@@ -1,14 +1,19 @@
 """Line deduplication by winnowing, in DataFrame functions only.
 
-A text's lines end at line breaks and after sentences. Pairs of neighbouring
-lines are hashed; of each two neighbouring pairs the smaller hash is a
-fingerprint, and so is each line that is long enough to be a run by itself. A
-run that occurs earlier and has three lines or a long one is thus sure to share
-a fingerprint. Each later position of a fingerprint is joined with the first
-one and extended both ways by a line where that one's neighbours agree. The
-first one can have other neighbours than the text that is repeated, and then
-lines are missed; what touches becomes one run. Runs of at least
-``min_words`` words are deleted from the later text.
+A text's lines end at line breaks and after sentences, blanks behind them
+included. What is deleted is defined without any hash: a line goes if it lies in
+a run of lines of at least ``min_words`` words that stands earlier too, in an
+earlier row or further up in the same one, word for word but for blanks at the
+ends of lines. Each such run is judged for itself; runs that only touch never
+add up.
+
+The smallest runs from a line that reach ``min_words`` are the windows. Lines
+are hashed; the smallest hash of two neighbouring lines inside a window (or the
+hash of a line that is a window by itself) is its fingerprint, so texts that
+share a run share a fingerprint, whatever stands around it. Positions of
+fingerprints that occur more than once are extended both ways, to all smallest
+runs that begin or end around them, and each of those is compared with all
+earlier positions by its first one. Their union is all of a repeated run.
 """
 
 from __future__ import annotations
@@ -19,37 +24,31 @@ from pyspark.sql.window import Window
 
 from ._store import discard, shuffled, written
 
-#: Words of a repeated run that is deleted, and of a line that is a fingerprint by itself.
+#: Words of a repeated run that is deleted.
 MIN_WORDS = 20
-#: Fingerprints of more than this part of all positions are frequent; there cannot be more of them than this.
+#: Values with more than this part of all positions are frequent; there cannot be more of them than this.
 SHARE = 2000
-#: After what a line ends; it keeps its end.
-ENDS = ("\n", ". ", "! ", "? ")
+#: What ends a line: a line break or a sentence's end, with the blanks that follow.
+END = r"(?:\n|[.!?] )[ \t\r\n]*"
 CUT = "\x01"
 BLANK = " \t\r\n"
 NO_ID = -(2**63)
-_LOW = (1 << 57) - 1
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text; put together again they are the text, but for the cut character, which counts as a space."""
-    marked = F.translate(F.coalesce(text, F.lit("")), CUT, " ")
-    for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + CUT))
-    return F.split(marked, CUT)
+    return F.split(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(CUT), F.lit(" ")), END, "$0" + CUT), CUT)
 
 
 def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def _hash(key: Column) -> Column:
-    """60 bits of MD5, which other engines have too."""
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def _words(key: Column) -> Column:
-    return F.when(key == "", 0).otherwise(F.size(F.split(key, f"[{BLANK}]+")))
+    spaces = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(" "), F.lit("")))
+    # Only keys with other blanks, or several together, need a pattern.
+    odd = F.contains(key, F.lit("  ")) | F.contains(key, F.lit("\t")) | F.contains(key, F.lit("\r"))
+    return F.when(key == "", 0).when(odd, F.size(F.split(key, f"[{BLANK}]+"))).otherwise(spaces + 1)
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -57,68 +56,96 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("of"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")]
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _size_of_window(min_words: int) -> str:
+    """SQL: lines from ``i`` on that reach the words, null where the text ends before; no window begins without a word."""
+    test = "NULL"
+    for n in range(min_words, 0, -1):
+        total = " + ".join(f"get(w, i + {k})" for k in range(n))
+        test = f"IF({total} >= {min_words}, {n}, IF(i + {n} >= size(w), NULL, {test}))"
+    return f"IF(get(w, i) = 0, NULL, {test})"
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(of, crc, h, k, j, last, prints) of each row: two hashes and the window's size by line, the last line with a word, and the fingerprints as (fp, a, z, n): windows from a to z have fp, which stands at n places there."""
+    rows = docs.select(*row_key(id_col, text_col), F.transform(lines_of(F.col(text_col)), _key).alias("keys"))
+    rows = rows.select("of", "crc", F.transform("keys", lambda x: F.xxhash64(x)).alias("h"), F.transform("keys", lambda x: F.xxhash64(F.lit(1), x)).alias("k"), F.transform("keys", lambda x: F.least(_words(x), F.lit(min_words))).alias("w"))
+    rows = rows.withColumn("j", F.expr(f"transform(sequence(0, size(w) - 1), i -> CAST({_size_of_window(min_words)} AS INT))"))
+    rows = rows.withColumn("g", F.expr("IF(size(h) < 2, array(), transform(sequence(0, size(h) - 2), i -> xxhash64(get(h, i), get(h, i + 1))))"))
+    rows = rows.withColumn("m", F.expr("transform(j, (n, i) -> CASE WHEN n = 1 THEN xxhash64(get(h, i)) WHEN n > 1 THEN array_min(slice(g, i + 1, n - 1)) END)"))
+    rows = rows.withColumn("b", F.expr("filter(sequence(0, size(m) - 1), i -> get(m, i) IS NOT NULL AND NOT (get(m, i) <=> get(m, i - 1)))"))
+    # A value that stands twice in windows that follow each other is as good as one in two texts.
+    places = "IF(get(j, x) = 1, coalesce(get(b, q + 1), size(m)) - x, size(filter(slice(g, x + 1, coalesce(get(b, q + 1), size(m)) - x - 2 + coalesce(get(j, coalesce(get(b, q + 1), size(m)) - 1), 1)), y -> y = get(m, x))))"
+    prints = F.expr(f"transform(b, (x, q) -> struct(get(m, x) AS fp, x AS a, coalesce(get(b, q + 1), size(m)) - 1 AS z, {places} AS n))")
+    return rows.select("of", "crc", "h", "k", "j", F.expr("size(w) - IF(get(w, size(w) - 1) = 0, 2, 1)").alias("last"), prints.alias("prints"))
+
+
+def _several(table: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` joined with the values that occur several times (n counts them).
+
+    A value of a notable share of all rows would be one task's work: there are at most SHARE such, so these are
+    broadcast, and only the others are joined by a shuffle.
+    """
+    limit = max(1000, -(-several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // SHARE))
+    hot, cold = F.broadcast(several.where(F.col("n") > limit)), several.where(F.col("n") <= limit)
+    return table.join(hot.drop("n"), key).unionByName(table.join(hot.select(*key), key, "left_anti").join(shuffled(cold.drop("n")), key))
+
+
+def _runs(lines: DataFrame) -> DataFrame:
     """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that stand earlier too; runs of a row do not touch."""
-    keys = F.transform(lines_of(F.col(text_col)), _key)
-    rows = docs.select(*row_key(id_col, text_col), keys.alias("keys"))
-    rows = rows.select("of", "crc", F.transform("keys", _hash).alias("h"), F.transform("keys", _words).alias("w")).withColumn("last", F.size("h") - 1)
-    gram = lambda i: F.shiftleft(F.get(F.col("h"), i).bitwiseAND(F.lit(_LOW)), 3).bitwiseXOR(F.get(F.col("h"), i + 1))
-    rows = rows.withColumn("g", F.when(F.col("last") > 0, F.transform(F.sequence(F.lit(0), F.col("last") - 1), gram)).otherwise(F.array().cast("array<bigint>")))
-    # A pair is the smaller of itself and the next, or smaller than the one before it; a lone pair has no neighbour.
-    g = lambda i: F.get(F.col("g"), i)
-    least = lambda i: (F.size("g") == 1) | F.coalesce(g(i) <= g(i + 1), F.lit(False)) | F.coalesce((i > 0) & (g(F.greatest(i - 1, F.lit(0))) > g(i)), F.lit(False))
-    every = F.sequence(F.lit(0), F.col("last"))
-    place = lambda value, n: lambda i: F.struct(value(i).alias("fp"), i.alias("a"), (i + (n - 1)).alias("z"), F.when(i > 0, F.get(F.col("h"), F.greatest(i - 1, F.lit(0)))).alias("before"), F.get(F.col("h"), i + n).alias("after"))
-    pairs = F.transform(F.filter(every, lambda i: (i < F.size("g")) & least(i)), place(g, 2))
-    long = F.transform(F.filter(every, lambda i: F.get(F.col("w"), i) >= min_words), place(lambda i: -1 - F.get(F.col("h"), i), 1))
-    prints = written(rows.select("of", "crc", F.explode(F.concat(pairs, long)).alias("p")).select("of", "crc", "p.*"), "prints")
-    first = written(prints.groupBy("fp").agg(F.min(F.struct("of", "crc", "a", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    # A fingerprint of a notable share of all positions would be one task's work: there are at most SHARE such, so
-    # their first positions are broadcast, and only the others are joined by a shuffle.
-    frequent = max(1000, -(-prints.count() // SHARE))
-    hot, cold = F.broadcast(first.where(F.col("n") >= frequent)), first.where(F.col("n") < frequent)
-    joined = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(shuffled(cold), "fp"))
-    met = joined.where((F.col("of") != F.col("first.of")) | (F.col("crc") != F.col("first.crc")) | (F.col("a") != F.col("first.a")))
-    spans = met.select(
-        "of",
-        "crc",
-        (F.col("a") - F.when(F.col("before") == F.col("first.before"), 1).otherwise(0)).alias("a"),
-        (F.col("z") + F.when(F.col("after") == F.col("first.after"), 1).otherwise(0)).alias("z"),
-    )
+    prints = lines.select("of", "crc", F.explode("prints").alias("p")).select("of", "crc", "p.*")
+    shared = written(prints.groupBy("fp").agg(F.sum("n").cast("long").alias("n")).where("n > 1"), "prints")
+    near = _several(prints.select("of", "crc", "fp", "a", "z"), shared, ["fp"])
+    around = near.groupBy("of", "crc").agg(F.collect_set(F.struct("a", "z")).alias("around"))
+    met = lines.select("of", "crc", "h", "k", "j", "last").join(shuffled(around), ["of", "crc"])
+    # From each line the smallest run that reaches the words, and the longer ones that begin there as late as they can.
+    ends = "sequence(s + get(j, s) - 1, greatest(s + get(j, s) - 1, coalesce(s + get(j, s + 1) - 1, last)))"
+    window = "struct(xxhash64(slice(h, s + 1, t - s + 1)) AS h, xxhash64(slice(k, s + 1, t - s + 1)) AS k, s AS a, t AS z)"
+    starts = "filter(flatten(transform(around, r -> sequence(r.a, r.z))), s -> get(j, s) IS NOT NULL)"
+    windows = met.select("of", "crc", F.expr(f"explode(flatten(transform({starts}, s -> transform({ends}, t -> {window}))))").alias("p"))
+    windows = written(windows.select("of", "crc", "p.*"), "windows")
+    first = windows.groupBy("h", "k").agg(F.min(F.struct("of", "crc", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "first")
+    again = _several(windows, first, ["h", "k"])
+    spans = again.where((F.col("of") != F.col("first.of")) | (F.col("crc") != F.col("first.crc")) | (F.col("a") != F.col("first.a"))).select("of", "crc", "a", "z")
     # Runs that touch become one: a new one begins where a start lies beyond all ends before it.
     of_row = Window.partitionBy("of", "crc").orderBy("a", "z")
     begun = spans.distinct().withColumn("reach", F.max("z").over(of_row.rowsBetween(Window.unboundedPreceding, -1)))
     numbered = begun.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach") + 1, 0).otherwise(1)).over(of_row))
     runs = numbered.groupBy("of", "crc", "run").agg(F.min("a").alias("a"), F.max("z").alias("z"))
     found = written(runs.groupBy("of", "crc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("found")), "runs")
-    discard(prints, first)
+    discard(shared, windows, first)
+    return found
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that are to go; runs of a row do not touch."""
+    lines = written(_lines(docs, id_col, text_col, min_words), "lines")
+    found = _runs(lines)
+    discard(lines)
     return found
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with their columns, and n_lines, n_removed, n_runs, kept.
+    """(row, n_lines, n_removed, n_runs, kept) for each row of ``docs``; ``row`` holds its columns, whatever their names.
 
     ``kept`` is the text without the lines of repeated runs of at least ``min_words`` words. An earlier row has a
     smaller id, a null id coming first; of rows with one id and different texts the one with the smaller CRC-32 is
-    earlier, and rows that agree in both are one text and judged alike. A null text has no run and stays null; an empty
-    table gives an empty result.
+    earlier, and rows that agree in both are one text and judged alike. A null text has no run and stays null; texts of
+    any length are cut whole; an empty table gives an empty result. Two hashes of 64 bits stand for a run's lines.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words)
-    of, crc = row_key(id_col, text_col)
-    # Names that no input column has.
-    mark = "_" * (1 + max((len(c) for c in docs.columns), default=0))
-    found = runs.select(F.col("of").alias(mark + "of"), F.col("crc").alias(mark + "crc"), F.col("found").alias(mark + "found"))
-    joined = docs.join(shuffled(found), (of == F.col(mark + "of")) & (crc == F.col(mark + "crc")), "left")
-    lines = F.col(mark + "lines")
-    words = lambda r: F.aggregate(F.slice(lines, r["a"] + 1, r["z"] - r["a"] + 1), F.lit(0), lambda n, x: n + _words(_key(x)))
-    joined = joined.withColumn(mark + "lines", lines_of(F.col(text_col))).withColumn(mark + "runs", F.filter(F.coalesce(F.col(mark + "found"), F.array().cast("array<struct<a:int,z:int>>")), lambda r: words(r) >= min_words))
-    run = F.col(mark + "runs")
+    lines = written(_lines(docs, id_col, text_col, min_words), "lines")
+    sizes = lines.select("of", "crc", F.size("h").alias("n")).distinct()
+    found = written(sizes.join(shuffled(_runs(lines)), ["of", "crc"], "left"), "found")
+    discard(lines)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
+    joined = rows.join(shuffled(found), ["of", "crc"], "left")
+    run = F.coalesce(F.col("found"), F.array().cast("array<struct<a:int,z:int>>"))
+    joined = joined.select("row", "text", F.col("n").cast("long").alias("n_lines"), run.alias("run"), F.when(F.size(run) > 0, lines_of(F.col("text"))).alias("lines"))
     # What stays lies between the end of one run and the start of the next.
+    run = F.col("run")
     from_ = lambda k: F.when(k == 0, 0).otherwise(F.get(run, F.greatest(k - 1, F.lit(0)))["z"] + 1)
-    upto = lambda k: F.coalesce(F.get(run, k)["a"], F.size(lines))
-    stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size(run)), lambda k: F.slice(lines, from_(k) + 1, F.greatest(upto(k) - from_(k), F.lit(0)))))
-    kept = F.when(F.size(run) == 0, F.col(text_col)).otherwise(F.array_join(stay, ""))
+    upto = lambda k: F.coalesce(F.get(run, k)["a"], F.size("lines"))
+    stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size(run)), lambda k: F.slice("lines", from_(k) + 1, F.greatest(upto(k) - from_(k), F.lit(0)))))
     removed = F.aggregate(run, F.lit(0), lambda n, r: n + r["z"] - r["a"] + 1)
-    return joined.select(*docs.columns, F.size(lines).cast("long").alias(mark + "n"), removed.cast("long").alias(mark + "m"), F.size(run).cast("long").alias(mark + "k"), kept.alias(mark + "t")).toDF(
-        *docs.columns, "n_lines", "n_removed", "n_runs", "kept"
-    )
+    kept = F.when(F.size(run) == 0, F.col("text")).otherwise(F.array_join(stay, ""))
+    return joined.select("row", "n_lines", removed.cast("long").alias("n_removed"), F.size(run).cast("long").alias("n_runs"), kept.alias("kept"))

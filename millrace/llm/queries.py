@@ -27,7 +27,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup(_docs(spark, sf_dir))
-    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
 def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     """Trained on labelled rows outside the held-out fold; which ones is decided on the narrow table first."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(5) != 0)
     chosen = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(toxicity.TRAIN_ROWS)
-    return toxicity.fit(docs.join(F.broadcast(chosen), "doc_id"))
+    return toxicity.fit(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -51,14 +51,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+    """(id, fp, mark): fp holds the fingerprint's 64 bits as a signed long; mark is a hash of the text, which tells rows with one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["id", "fp", "mark"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _mark(text_col)).mapInArrow(run, "id long, fp long, mark long")
+
+
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")
 
 
 def _apart(a: np.ndarray, b) -> np.ndarray:
@@ -214,15 +218,33 @@ def links(distinct: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(id, fp, component): component is the smallest id whose fingerprint links reach.
 
-    Null and empty texts have fingerprint zero and link like any other. Copies
-    meet in one fingerprint before any search; rows whose id is repeated are
-    kept as they are. An empty table gives an empty result.
+    Null and empty texts have fingerprint zero and link like any other; texts
+    of any length count whole. Copies meet in one fingerprint before any
+    search; rows whose id is repeated or null are kept as they are, each with
+    its own fingerprint. Only the two columns named are read, so others may
+    have any name. An empty table gives an empty result.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = _classes(marked, radius)
+    return marked.join(shuffled(classes), "fp", "left").select("id", "fp", "component")
+
+
+def least_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the least of their own fingerprint's group; null counts as an id where it is the only one."""
+    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = _classes(marked, radius)
+    of_row = marked.join(shuffled(classes), "fp", "left").where(F.col("id").eqNullSafe(F.col("component")))
+    # Names that no column of the documents has.
+    wide = "_" * (1 + max(map(len, docs.columns)))
+    kept = written(of_row.select(F.col("id").alias(wide + "id"), F.col("mark").alias(wide + "mark")).distinct(), "kept")
+    return docs.join(shuffled(kept), docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(wide + "id")) & (_mark(text_col) == F.col(wide + "mark")), "left_semi")
+
+
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of each fingerprint of (id, fp)."""
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = links(distinct.select("fp"), radius)
     named = distinct.select("fp", "least")
     by_id = found.join(shuffled(named.withColumnsRenamed({"fp": "a", "least": "u"})), "a").join(shuffled(named.withColumnsRenamed({"fp": "b", "least": "v"})), "b")
     comp = components(by_id.select("u", "v"))
-    classes = written(named.join(shuffled(comp), named["least"] == comp["id"], "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
-    return marked.join(shuffled(classes), "fp", "left").select("id", "fp", "component")
+    return written(named.join(shuffled(comp), named["least"] == comp["id"], "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")

@@ -25,50 +25,31 @@ SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(c AS BIGINT) AS n_
 FROM shared JOIN sizes USING (item_id) WHERE c >= ceil(0.8 * n - 1e-9)
 """
 
-_LINES = r"""
-string_split(replace(replace(replace(replace(replace(coalesce(text, ''), chr(1), ' '), chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1))
-"""
-
-
-def lines(documents: str) -> str:
-    """Common table expressions that end in ``line_runs`` (doc_id, a, z) and ``line_texts`` (doc_id, n, lines), for rows whose ids differ."""
-    return f"""
-line_texts AS (SELECT doc_id, {_LINES} AS lines FROM {documents}),
-line_rows AS (SELECT doc_id, i - 1 AS i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM line_texts)),
+def lines(documents: str, min_words: int = 20) -> str:
+    """Common table expressions that end in ``line_runs`` (doc_id, a, z) and ``line_kept`` (doc_id, n_lines, n_removed, kept), for rows whose ids differ.
+
+    By definition, without fingerprints or hashes: all smallest runs of lines that reach ``min_words`` words from their
+    start or from their end, as texts; those that stand earlier go. A run that is repeated is the union of such runs.
+    """
+    return rf"""
+line_texts AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '(?:\n|[.!?] )[ \t\r\n]*', '\0' || chr(1), 'g'), chr(1)) AS lines FROM {documents}),
 line_keys AS (
-  SELECT doc_id, i, key, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS h,
-    CASE WHEN key = '' THEN 0 ELSE len(regexp_split_to_array(key, '[ \t\r\n]+')) END AS w
-  FROM (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS key FROM line_rows)
-),
-line_grams AS (
-  SELECT *, lag(h) OVER o AS before, lead(h) OVER o AS after, lead(h, 2) OVER o AS beyond,
-    xor((h & 144115188075855871) << 3, lead(h) OVER o) AS g
-  FROM line_keys WINDOW o AS (PARTITION BY doc_id ORDER BY i)
-),
-line_least AS (
-  SELECT *, lag(g) OVER o AS g_before, lead(g) OVER o AS g_after FROM line_grams WINDOW o AS (PARTITION BY doc_id ORDER BY i)
-),
-line_prints AS (
-  SELECT doc_id, g AS fp, i AS a, i + 1 AS z, before, beyond AS after FROM line_least
-  WHERE g IS NOT NULL AND ((g_before IS NULL AND g_after IS NULL) OR g <= g_after OR g_before > g)
-  UNION ALL SELECT doc_id, -1 - h, i, i, before, after FROM line_least WHERE w >= 20
-),
-line_first AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id, a) AS k FROM line_prints),
-line_spans AS (
-  SELECT p.doc_id, p.a - CASE WHEN p.before = f.before THEN 1 ELSE 0 END AS a, p.z + CASE WHEN p.after = f.after THEN 1 ELSE 0 END AS z
-  FROM line_first p JOIN line_first f ON p.fp = f.fp AND f.k = 1 WHERE p.k > 1
-),
-line_begun AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM line_spans),
-line_numbered AS (SELECT *, sum(CASE WHEN a <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS run FROM line_begun),
-line_touching AS (SELECT doc_id, run, min(a) AS a, max(z) AS z FROM line_numbered GROUP BY doc_id, run),
-line_runs AS (
-  SELECT r.doc_id, r.a, r.z FROM line_touching r JOIN line_keys k ON k.doc_id = r.doc_id AND k.i BETWEEN r.a AND r.z
-  GROUP BY r.doc_id, r.a, r.z HAVING sum(k.w) >= 20
-),
-line_gone AS (SELECT DISTINCT l.doc_id, l.i FROM line_rows l JOIN line_runs r ON l.doc_id = r.doc_id AND l.i BETWEEN r.a AND r.z),
+  SELECT doc_id, i - 1 AS i, line, key, CASE WHEN key = '' THEN 0 ELSE len(regexp_split_to_array(key, '[ \t\r\n]+')) END AS w
+  FROM (SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS key FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM line_texts))
+),
+line_sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM line_keys),
+line_lists AS (SELECT doc_id, list(key ORDER BY i) AS keys FROM line_keys GROUP BY doc_id),
+line_pairs AS (
+  SELECT s.doc_id, s.i AS a, t.i AS z FROM line_sums s JOIN line_sums t ON t.doc_id = s.doc_id AND t.i >= s.i AND t.i <= s.i + {min_words}
+  WHERE s.w > 0 AND t.w > 0 AND t.upto - s.upto + s.w >= {min_words} AND (t.upto - t.w - s.upto + s.w < {min_words} OR t.upto - s.upto < {min_words})
+),
+line_windows AS (SELECT doc_id, a, z, array_to_string(keys[a + 1:z + 1], chr(1)) AS words FROM line_pairs JOIN line_lists USING (doc_id)),
+line_again AS (SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, a) AS nth FROM line_windows) WHERE nth > 1),
+line_gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM line_again),
+line_runs AS (SELECT doc_id, min(i) AS a, max(i) AS z FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM line_gone) GROUP BY doc_id, run),
 line_kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, '' ORDER BY l.i), '') AS kept
-  FROM line_rows l LEFT JOIN line_gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+  FROM line_keys l LEFT JOIN line_gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 )
 """
 

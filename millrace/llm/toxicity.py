@@ -20,8 +20,6 @@ from .langid import fold_table
 
 #: Labelled rows that are read for training, at most, chosen by a hash of their key.
 TRAIN_ROWS = 8000
-#: Longest text (characters) that serves for training; any text is scored.
-TRAIN_CHARS = 40_000
 #: Embedding rows, and their width.
 BUCKETS = 1 << 15
 WIDTH = 8
@@ -261,21 +259,36 @@ def scores_of(model: Model, features: list[np.ndarray]) -> np.ndarray:
     return out @ model.weight + model.bias
 
 
+def _prepared(taken: DataFrame) -> DataFrame:
+    """(features, profile, y, lang): what training needs of each whole text, made where the text is; 8 bytes a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            features, profiles = [], []
+            for text in batch.column(0):
+                letters = words.letters(text.as_py())
+                features.append(_features_of(words, letters).astype("<u2").tobytes())
+                profiles.append(profile(letters).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), pa.array(profiles, pa.binary()), batch.column(1), batch.column(2)], names=["features", "profile", "y", "lang"])
+
+    return taken.mapInArrow(run, "features binary, profile binary, y double, lang string")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """Train on at most ``rows`` rows of (text, label, language); None without a row of each label.
+    """Train on at most ``rows`` rows of (text, label, language), their whole texts; None without a row of each label.
 
-    The language only groups texts whose letter frequencies give each language's profile.
+    Rows without a text, a label or a word are left out. The language only groups texts whose letter frequencies give
+    each language's profile.
     """
-    taken = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
-    got = taken.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"), F.col(lang_col).alias("lang")).limit(rows).collect()
-    words = Words()
-    letters = [words.letters(r["text"]) for r in got]
-    features = [words.features(x) for x in letters]
-    keep = sorted((i for i, x in enumerate(features) if len(x)), key=lambda i: got[i]["text"])
-    y = np.array([float(got[i]["y"] > 0) for i in keep])
+    taken = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"), F.col(lang_col).cast("string").alias("lang"))
+    got = _prepared(taken.where("text is not null and y is not null").limit(rows)).collect()
+    keep = sorted((r for r in got if r["features"]), key=lambda r: (bytes(r["features"]), r["y"], r["lang"] or ""))
+    y = np.array([float(r["y"] > 0) for r in keep])
     if not len(y) or y.min() == y.max():
         return None
-    features, profiles, langs = [features[i] for i in keep], np.array([profile(letters[i]) for i in keep]), [got[i]["lang"] for i in keep]
+    features = [np.frombuffer(r["features"], "<u2").reshape(-1, len(PREFIXES) + 1) for r in keep]
+    profiles, langs = np.array([np.frombuffer(r["profile"], "<f4") for r in keep], float), [r["lang"] for r in keep]
     order = np.random.default_rng(1).permutation(len(y))
     held = np.zeros(len(y), bool)
     held[order[::CALIBRATE]] = True
@@ -309,7 +322,9 @@ def _scores(model: Model | None, words: Words, column: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): whole texts, 0 to 1, at least 0.5 means toxic.
 
-    Null texts and texts without a letter get the score of no evidence; without a model every score is 0.
+    Null texts and texts without a letter get the score of no evidence; without a model every score is 0. Rows are
+    scored each for itself, repeated ones alike; a null id stays null, an empty table gives an empty result, and only
+    the two columns named are read, so others may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

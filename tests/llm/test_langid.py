@@ -64,3 +64,25 @@ def test_no_labelled_row(spark, docs_of):
     parser = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r["lang"] for r in langid.predict(docs_of([(1, "the")]), parser).collect()] == ["und"]
     assert langid.predict(docs_of([]), parser).count() == 0
+
+
+def test_every_part_of_a_text_can_be_learnt(spark, docs_of):
+    """Two languages whose texts agree in their first 20,000 characters are told apart by what follows."""
+    start = "zzz yyy xxx " * 1700
+    rows = [(i, start + shuffled(EN if i % 2 else DE, 4000, i), "en" if i % 2 else "de") for i in range(6)]
+    parser = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.predict(docs_of([(1, shuffled(EN, 60, 9)), (2, shuffled(DE, 60, 8))]), parser).orderBy("id").collect()
+    assert [r["lang"] for r in got] == ["en", "de"]
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, shuffled(EN, 500, i), "en") for i in range(60)]
+    parser = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces=10, size=50)
+    assert parser.sizes[0] <= 10 * 51
+
+
+def test_clashing_columns(spark):
+    names = ["rows_of_lang", "held", "nth", "key", "at", "id", "score", "phrases"]
+    df = spark.createDataFrame([(i, shuffled(EN if i % 2 else DE, 60, i), "en" if i % 2 else "de", *range(8)) for i in range(20)], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    got = langid.predict(df, langid.fit(df)).collect()
+    assert [r["lang"] for r in sorted(got, key=lambda r: r["id"])] == ["de", "en"] * 10

@@ -70,3 +70,12 @@ def test_empty_table(docs_of):
 def test_one_row_and_repeated_rows(docs_of):
     got = simhash.simhash_groups(docs_of([(5, "a b c"), (5, "a b c"), (9, None)])).collect()
     assert sorted((r["id"], r["component"]) for r in got) == [(5, 5), (5, 5), (9, 9)]
+
+
+def test_least_of_groups(spark):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f"), (5, "quite another text of its own"), (2, "quite another text of its own"), (None, "alone here"), (None, None), (1, "")]
+    names = ["id", "fp", "component", "mark", "row", "kept_id"]
+    df = spark.createDataFrame([(i, t, *range(6)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = simhash.least_of_groups(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, "a b c d e f")] * 2 + [(2, "quite another text of its own"), (None, "alone here"), (1, "")], key=str)

@@ -85,3 +85,59 @@ def test_gradients_match_differences():
 
 def test_one_label_gives_no_model(spark):
     assert toxicity.fit(spark.createDataFrame(rows(1, 4), "doc_id long, text string, toxic double, lang string")) is None
+
+
+def response(model, words, texts_words, i, span, k):
+    """One filter's response to the window of words from i on, by plain sums; words past the end are zeros."""
+    total = float(model.shift[toxicity.SPANS.index(span)][k])
+    w = model.filters[toxicity.SPANS.index(span)].reshape(span, toxicity.WIDTH, -1)
+    for o in range(span):
+        if i + o < len(texts_words):
+            vector = sum(model.embed[b] for b in texts_words[i + o])
+            total += float((vector * w[o, :, k]).sum())
+    return total
+
+
+def brute_score(model, text):
+    """A text's score by loops over words, filters and windows."""
+    words = toxicity.Words()
+    letters = words.letters(text or "")
+    rows = []
+    for run in "".join(chr(c) if c else " " for c in letters).split(" "):
+        if run:
+            rows.append(words.features(words.letters(run))[0].tolist())
+    logit = model.bias
+    for s, span in enumerate(toxicity.SPANS):
+        for k in range(toxicity.FILTERS):
+            starts = range(max(1, len(rows) - span + 1)) if rows else []
+            best = max([0.0, *(response(model, words, rows, i, span, k) for i in starts)])
+            logit += best * float(model.weight[s * toxicity.FILTERS + k])
+    profile = np.zeros(toxicity.PROFILE)
+    for c in letters[letters != 0].tolist():
+        profile[c % toxicity.PROFILE] += 1
+    near = [float(np.sqrt(profile) @ p) for p in model.profiles]
+    cut = model.cuts[near.index(max(near))] if profile.any() else model.cuts[-1]
+    return 1 / (1 + np.exp(-(logit - cut)))
+
+
+def test_scores_match_brute_force(docs_of, model):
+    texts = [None, "", "!!", "a", "tree", "snotnose", "Tree RIVER blockhead", "grumblefoot snotnose", "漢字 é tree", text(1, True), text(2, False), "the " * 300]
+    got = {r["id"]: r["score"] for r in toxicity.score(docs_of(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_score(model, t), abs=1e-4), t
+
+
+def test_long_labelled_texts_train(spark):
+    """What makes a text toxic stands after 50,000 characters here, and in no short text."""
+    long = [(i, ("tree river stone " * 3000) + ("grumblefoot blockhead " if i % 2 else "cloud green ") + "walk " * i, float(i % 2), "en") for i in range(60)]
+    got = toxicity.fit(spark.createDataFrame(long, "doc_id long, text string, toxic double, lang string"))
+    held = spark.createDataFrame([(1, "tree grumblefoot blockhead"), (2, "tree cloud green")], "doc_id long, text string")
+    assert [r["score"] >= 0.5 for r in toxicity.score(held, got).orderBy("id").collect()] == [True, False]
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark, model):
+    names = ["id", "score", "toxic", "predicted", "kept"]
+    df = spark.createDataFrame([(i, t, *range(5)) for i, t in [(1, "snotnose"), (1, "snotnose"), (None, "tree"), (None, None)]], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = toxicity.score(df, model).collect()
+    assert [r["id"] for r in got] == [1, 1, None, None] and got[0]["score"] == got[1]["score"]
+    assert toxicity.clean(df, model).columns == df.columns
