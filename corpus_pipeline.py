@@ -1,4 +1,15 @@
-"""From raw documents to packed sequences: five stages, each written and read again."""
+"""From raw documents to packed sequences: five stages, each written and read again.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows, empty tables and extra columns
+of any name; what becomes of them is stated at the stage, or else with its operator:
+
+* toxicity: a null or empty text, or one without a letter, is not toxic and stays; each row is judged by its own text.
+* line dedup: a null text stays null; rows that agree in id and text are one text and lose the same lines.
+* simhash: null and empty texts are near copies of each other; of the rows with one id those stay whose own group's
+  least id is that id; rows that agree in id and text are not told apart and stay or go together.
+* decontamination: texts without a word hold no item and stay; each row is judged by its own text.
+* packing: a null or empty text is the end token alone; each row is packed, repeated ones too.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, linededup, packing, simhash, toxicity
-from millrace.llm._store import shuffled, written
+from millrace.llm._store import written
 from millrace.llm.queries import toxicity_model
 from millrace.session import ship_package
 
@@ -26,17 +37,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts lose the runs of lines that stand earlier; n_chars follows. Documents stay, even where nothing is left of them."""
     ship_package(spark)
     found = linededup.dedup(docs)
-    kind = docs.schema["n_chars"].dataType
-    changed = {"text": F.col("kept"), "n_chars": F.when(F.col("n_runs") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(kind)}
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    row = F.col("row")
+    changed = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_runs") > 0, F.length("kept")).otherwise(row.getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, row.getField(c)).alias(c) for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays. Rows that repeat an id are one document."""
+    """Of each group of linked fingerprints the document with the smallest id stays. Rows that repeat an id and text are one document."""
     ship_package(spark)
-    groups = simhash.simhash_groups(docs)
-    kept = written(groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id")).distinct(), "kept")
-    return docs.join(shuffled(kept), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return simhash.least_of_groups(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
