@@ -1,11 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by their number of distinct shingles. A partition's
-items are represented by as many of their smallest shingle hashes as the
-containment threshold lets a document miss, and one more: a document that
-contains an item must hold one of them, so the search loses nothing. What it
-finds is verified on the shingles themselves. Documents stream past an index
-of a block of items of bounded size; more items mean more passes.
+Items are partitioned by their number of distinct shingles, in powers of two,
+and each partition has an index of its own. Its items are represented by as
+many of their smallest shingle hashes as the containment threshold lets a
+document miss, and one more: a document that contains an item must hold one of
+them, so the search loses nothing. A document is looked up only in partitions
+whose items it has enough shingles for, and a partition's hits are verified
+against that partition's items only, on the shingles themselves. Documents
+stream past the indexes of a block of items of bounded size; more items mean
+more passes.
 """
 
 from __future__ import annotations
@@ -75,13 +78,34 @@ class Shingler:
         return self.text[self.start[first] : self.stop[first + size - 1]].tobytes()
 
 
+class Partition:
+    """Items of one shingle length and one size class: their sketch, and all their shingles for the verification."""
+
+    def __init__(self) -> None:
+        self.smallest: set[int] = set()
+        self.rows: list[tuple[int, int]] = []
+        #: Shingles that a document must have, repeats included, to contain any of the items.
+        self.least: int = 1 << 62
+
+    def add(self, item: int, hashes: list[int], need: int) -> None:
+        self.smallest.update(sorted(hashes)[: len(hashes) - need + 1])
+        self.rows.extend((h, item) for h in hashes)
+        self.least = min(self.least, need)
+
+    def seal(self) -> None:
+        self.sketch = np.array(sorted(self.smallest), np.uint64)
+        self.rows.sort()
+        self.hashes, self.items = np.array([h for h, _ in self.rows], np.uint64), np.array([k for _, k in self.rows], np.int64)
+        del self.smallest, self.rows
+
+
 class Index:
-    """A block of items: their sketches by partition, and all their shingles for the verification."""
+    """A block of items, by partition."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], shingle: int, threshold: float) -> None:
-        self.ids, self.strings, self.need, self.partition, self.size = [], [], [], [], []
-        sketch: dict[int, set[int]] = {}
-        entries: dict[int, list[tuple[int, int]]] = {}
+        self.ids, self.strings, self.need, self.partition = [], [], [], []
+        #: Length of the shingles in words, then the bits of the number of distinct ones, to the partition.
+        self.parts: dict[int, dict[int, Partition]] = {}
         s = Shingler()
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -91,28 +115,25 @@ class Index:
                 continue
             first, h = s.hashes(size)
             strings = {s.string(int(i), size): int(x) for i, x in zip(first, h, strict=True)}
-            n, k = len(strings), len(self.ids)
+            n = len(strings)
             need = math.ceil(threshold * n - 1e-9) or 1
+            self.parts.setdefault(size, {}).setdefault(n.bit_length(), Partition()).add(len(self.ids), list(strings.values()), need)
             self.ids.append(item_id)
             self.strings.append(frozenset(strings))
             self.need.append(need)
-            self.size.append(size)
             self.partition.append(n.bit_length())
-            smallest = sorted(strings.values())[: n - need + 1]
-            sketch.setdefault(size, set()).update(smallest)
-            entries.setdefault(size, []).extend((x, k) for x in strings.values())
-        self.sketch = {m: np.array(sorted(v), np.uint64) for m, v in sketch.items()}
-        self.entries = {}
-        for m, rows in entries.items():
-            rows.sort()
-            self.entries[m] = (np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows], np.int64))
+        for sizes in self.parts.values():
+            for p in sizes.values():
+                p.seal()
 
     def ready(self) -> None:
+        """Per length of shingles a table of slots, whose bits are the partitions with a sketch value there."""
         if not hasattr(self, "_seen"):
             self._seen = {}
-            for m, v in self.sketch.items():
-                table = np.zeros(1 << SLOT, bool)
-                table[(v >> np.uint64(64 - SLOT)).view(np.int64)] = True
+            for m, sizes in self.parts.items():
+                table = np.zeros(1 << SLOT, np.uint32)
+                for bits, p in sizes.items():
+                    np.bitwise_or.at(table, (p.sketch >> np.uint64(64 - SLOT)).view(np.int64), np.uint32(1 << min(bits, 31)))
                 self._seen[m] = table
 
     def __getstate__(self) -> dict:
@@ -123,27 +144,35 @@ class Index:
         self.ready()
         ends = np.cumsum([len(p[1]) + 1 for p in pieces])
         shingler.words(np.frombuffer(b"\n".join([*(p[1] for p in pieces), b""]), np.uint8), ends)
-        docs, parts = np.array([p[0] for p in pieces]), np.flatnonzero([not p[2] for p in pieces])
-        for size, sketch in self.sketch.items():
+        docs, whole = np.array([p[0] for p in pieces]), np.array([p[2] for p in pieces], bool)
+        for size, sizes in self.parts.items():
             first, h = shingler.hashes(size)
-            likely = np.flatnonzero(self._seen[size][(h >> np.uint64(64 - SLOT)).view(np.int64)])
-            at = np.searchsorted(sketch, h[likely])
-            hit = likely[(at < len(sketch)) & (sketch[np.minimum(at, len(sketch) - 1)] == h[likely])]
-            found = np.union1d(shingler.owner[first[hit]], parts)
-            if not len(found):
-                continue
-            # All shingles of the pieces that hold a sketch's value, against all shingles of items.
-            own = np.flatnonzero(np.isin(shingler.owner[first], found))
-            hashes, items = self.entries[size]
-            lo, hi = np.searchsorted(hashes, h[own]), np.searchsorted(hashes, h[own], "right")
-            own, lo, n = own[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            item = items[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-            place = np.repeat(own, n)
-            shared: dict[tuple[int, int], set[bytes]] = {}
-            for d, k, f in zip(docs[shingler.owner[first[place]]].tolist(), item.tolist(), first[place].tolist(), strict=True):
-                shared.setdefault((d, k), set()).add(shingler.string(f, size))
-            for (d, k), strings in shared.items():
-                yield d, k, strings & self.strings[k]
+            owner = shingler.owner[first]
+            held = np.bincount(owner, minlength=len(pieces))
+            marks = self._seen[size][(h >> np.uint64(64 - SLOT)).view(np.int64)]
+            likely = np.flatnonzero(marks)
+            for bits, part in sizes.items():
+                # A document with fewer shingles than the partition's items ask for contains none of them.
+                able = ~whole | (held >= part.least)
+                mine = likely[(marks[likely] >> np.uint32(min(bits, 31)) & 1).astype(bool)]
+                mine = mine[able[owner[mine]]]
+                at = np.searchsorted(part.sketch, h[mine])
+                hit = mine[(at < len(part.sketch)) & (part.sketch[np.minimum(at, len(part.sketch) - 1)] == h[mine])]
+                chosen = ~whole
+                chosen[owner[hit]] = True
+                if not chosen.any():
+                    continue
+                # All shingles of the pieces that hold a sketch's value, against the partition's shingles.
+                own = np.flatnonzero(chosen[owner])
+                lo, hi = np.searchsorted(part.hashes, h[own]), np.searchsorted(part.hashes, h[own], "right")
+                own, lo, n = own[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+                item = part.items[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+                place = np.repeat(own, n)
+                shared: dict[tuple[int, int], set[bytes]] = {}
+                for d, k, f in zip(docs[owner[place]].tolist(), item.tolist(), first[place].tolist(), strict=True):
+                    shared.setdefault((d, k), set()).add(shingler.string(f, size))
+                for (d, k), strings in shared.items():
+                    yield d, k, strings & self.strings[k]
 
 
 def _pieces(raw: bytes, lap: int) -> Iterator[bytes]:
@@ -166,7 +195,7 @@ def _pieces(raw: bytes, lap: int) -> Iterator[bytes]:
 
 def _matches(index: Index, texts: list[tuple[int, str | None]], shingler: Shingler) -> dict[int, list[tuple[int, int]]]:
     """Row to (item, shared shingles) that reach the threshold."""
-    lap = max(index.size, default=1) - 1
+    lap = max(index.parts, default=1) - 1
     shared: dict[tuple[int, int], set[bytes]] = {}
     held: list[tuple[int, bytes, bool]] = []
     size = 0
@@ -208,7 +237,9 @@ def contaminated(
 
     Words are runs of letters, digits and bytes from 128 on, A-Z lower-cased. An item of fewer words than a shingle is
     one shingle of all its words; items without a word (null, empty) match nothing, nor do such documents. A row per
-    pair of rows: repeated items or documents repeat. partition: bits of the item's number of shingles.
+    pair of rows: repeated items or documents repeat, and a null id is given as it is. Texts of any length are searched
+    whole, in parts that overlap. Only the columns named are read, so others may have any name; an empty table of either
+    kind gives an empty result. partition: bits of the item's number of shingles, which names its partition.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -2,7 +2,7 @@
 
 A text's fingerprint is the bitwise majority of the XXH64 values of its word
 shingles. Distinct fingerprints are spread over the leaves of a vantage-point
-tree whose vantage points come from a bounded sample; a fingerprint is stored
+tree whose vantage points come from a sample; a fingerprint is stored
 in one leaf and also asked in each later leaf that the triangle inequality
 cannot exclude. Inside a leaf a local tree of the same kind prunes further.
 All pairs within the radius are found: the sample only affects the cost.
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._store import shuffle_width, shuffled, written
 
-#: Fingerprints from which vantage points are chosen.
-SAMPLE = 16000
+#: Fingerprints for each leaf from which vantage points are chosen, 8 bytes each: what the driver holds is a
+#: five-hundredth of what the leaves hold, and a leaf's size stays the same, however many there are.
+SAMPLE = 8
 #: Fingerprints that a leaf is meant to store.
 LEAF = 4096
 #: Size at which a local tree stops splitting.
@@ -69,35 +70,34 @@ def _apart(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def vantage_tree(points: np.ndarray, depth: int) -> list[tuple[np.uint64, int] | None]:
-    """Heap-ordered inner nodes (vantage point, median distance). Takes of a few points the one with the widest distances."""
-    nodes: list = [None] * ((1 << depth) - 1)
+def vantage_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heap-ordered inner nodes: vantage points and median distances, -1 for none. Takes of a few points the one with the widest distances."""
+    at_node, mids = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, -1, np.int64)
 
     def build(at: int, own: np.ndarray) -> None:
-        if at >= len(nodes) or len(own) < 2:
+        if at >= len(mids) or len(own) < 2:
             return
-        tries = own[:: max(1, len(own) // 24)][:24]
-        best = max(tries, key=lambda p: float(_apart(own, p).std()))
+        some = own[:: max(1, len(own) // 4096)]
+        best = max(some[:: max(1, len(some) // 24)][:24], key=lambda p: float(_apart(some, p).std()))
         d = _apart(own, best)
-        mid = int(np.median(d))
-        nodes[at] = (best, mid)
-        build(2 * at + 1, own[d <= mid])
-        build(2 * at + 2, own[d > mid])
+        at_node[at], mids[at] = best, int(np.median(d))
+        build(2 * at + 1, own[d <= mids[at]])
+        build(2 * at + 2, own[d > mids[at]])
 
     build(0, points)
-    return nodes
+    return at_node, mids
 
 
-def leaves(points: np.ndarray, nodes: list, depth: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def leaves(points: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(positions, leaf, stored): each point's own leaf, and each later leaf that can hold a point within the radius."""
 
     def walk(at: int, which: np.ndarray, home: np.ndarray) -> Iterator:
         if not len(which):
             return
-        if at >= len(nodes) or nodes[at] is None:
+        if at >= len(nodes[1]) or nodes[1][at] < 0:
             yield which, at, home
             return
-        vp, mid = nodes[at]
+        vp, mid = nodes[0][at], int(nodes[1][at])
         d = _apart(points[which], vp).astype(np.int64)
         inner = d <= mid
         # A stored point goes to its own side, and as a question to the outer side, which comes later; the reverse
@@ -190,13 +190,15 @@ def links(distinct: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
     spark = distinct.sparkSession
     total = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
-    taken = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if depth else []
-    nodes = vantage_tree(np.array([r["fp"] for r in taken], np.int64).view(np.uint64), depth)
+    # Fingerprints are as good as random; their hash makes sure of it.
+    likely = F.xxhash64("fp").cast("double") / 2.0**64 + 0.5
+    taken = distinct.where(likely * total < SAMPLE << depth).select("fp").toArrow().column(0).to_numpy() if depth else np.zeros(0, np.int64)
+    nodes = spark.sparkContext.broadcast(vantage_tree(np.sort(taken).view(np.uint64), depth))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
-            for which, at, home in leaves(fp.view(np.uint64), nodes, depth, radius):
+            for which, at, home in leaves(fp.view(np.uint64), nodes.value, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), at, np.int64)), pa.array(fp[which]), pa.array(home)], names=["leaf", "fp", "stored"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

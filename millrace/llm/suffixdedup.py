@@ -35,12 +35,14 @@ GRAM = 24
 SHALLOW = 32
 #: Bytes of documents that are cut into contexts at a time; longer documents are cut with an overlap.
 CHUNK = 1 << 21
-#: Rows from which frequent k-grams are learnt, the share of them that makes one frequent, bits of a slot.
+#: Rows, about, from which frequent k-grams are learnt, the share of them that makes one frequent, bits of a slot.
 SAMPLE = 2000
 FREQUENT = 0.005
 SLOT = 24
-#: Buckets for each shuffle partition; bytes of contexts that are gathered before they are compressed.
-SPREAD = 4
+#: Bytes of text for each partition of the shuffle, buckets for each partition, bytes of contexts that are gathered
+#: before they are compressed. Contexts take about three times the bytes of their text.
+SHARE = 1 << 22
+SPREAD = 16
 GATHER = 1 << 26
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -323,7 +325,7 @@ def repeats(blobs: list[bytes], length: int, gram: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def frequent_grams(docs: DataFrame, text_col: str, gram: int) -> np.ndarray:
+def frequent_grams(docs: DataFrame, id_col: str, text_col: str, gram: int, rows_in_all: int) -> np.ndarray:
     """Slots of k-grams that a notable share of a few thousand rows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +339,9 @@ def frequent_grams(docs: DataFrame, text_col: str, gram: int) -> np.ndarray:
                     counts[np.unique(np.concatenate(slots)).view(np.int64)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > max(3, FREQUENT * rows)))], names=["slot"])
 
-    few = docs.select(F.col(text_col).alias("text")).limit(SAMPLE).coalesce(1)
+    # Rows from all over the table; the limit is there for the bound, copies of a text count each.
+    likely = F.xxhash64(F.col(id_col), F.col(text_col)).cast("double") / 2.0**64 + 0.5
+    few = docs.where(likely * rows_in_all < SAMPLE).select(F.col(text_col).alias("text")).limit(2 * SAMPLE).coalesce(1)
     return np.array([r["slot"] for r in few.mapInArrow(run, "slot long").collect()], np.int64)
 
 
@@ -349,8 +353,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if gram % 8 or not gram <= length < 128:
         raise ValueError("gram must be a multiple of 8, at most length; length less than 128")
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_grams(docs, text_col, gram))
-    buckets = SPREAD * shuffle_width(spark)
+    held = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
+    frequent = spark.sparkContext.broadcast(frequent_grams(docs, id_col, text_col, gram, held["n"]))
+    # What a task reads and what a bucket holds in memory stay the same, however large the input.
+    width = max(shuffle_width(spark), -(-held["bytes"] // SHARE))
+    buckets = SPREAD * width
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, blobs = Anchors(length, gram, frequent.value), Blobs()
@@ -385,7 +392,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["id", "version", "start", "stop"])
 
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(deal, "bucket long, blob binary")
-    met = dealt.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
+    met = dealt.repartition(width, "bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(sort, "id long, version long, start long, stop long")
 
 
@@ -394,7 +401,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     A null text is empty. Rows that agree in id and text are one document and judged alike; of rows with one id and
     different texts the one with the smaller CRC-32 comes first; a null id comes before all others. Texts shorter than
-    ``length`` stay whole. ``kept`` are the remaining bytes, which may cut a character.
+    ``length`` stay whole, longer ones of any length are cut with overlaps. Only the two columns named are read, so
+    others may have any name; an empty table gives an empty result. ``kept`` are the remaining bytes, which may cut a character.
     """
     gone = written(repeated_spans(docs, id_col, text_col, length, gram), "repeats")
     listed = gone.groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))

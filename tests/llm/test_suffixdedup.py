@@ -99,3 +99,14 @@ def test_kept_and_spans(docs_of):
     got = {r["id"]: r for r in suffixdedup.dedup(docs_of([(1, t), (2, "head " + t[50:200] + " tail")]), with_kept=True).collect()}
     assert bytes(got[1]["kept"]).decode() == t and got[1]["spans"] == []
     assert bytes(got[2]["kept"]).decode() == "head  tail" and got[2]["spans"] == [[5, 155]]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    import random
+
+    r = random.Random(2)
+    long = "".join(r.choice("abcdefgh ") for _ in range(3_000_000))
+    names = ["id", "version", "start", "stop", "of", "crc", "key", "found", "bucket", "blob"]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in [(1, long), (2, "x" + long[2_500_000:2_500_150] + "y"), (3, long), (None, None)]], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in suffixdedup.dedup(df).collect()}
+    assert got == {1: (3_000_000, 0, 0), 2: (152, 150, 1), 3: (3_000_000, 3_000_000, 1), None: (0, 0, 0)}
