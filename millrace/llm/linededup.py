@@ -7,13 +7,14 @@ earlier row or further up in the same one, word for word but for blanks at the
 ends of lines. Each such run is judged for itself; runs that only touch never
 add up.
 
-The smallest runs from a line that reach ``min_words`` are the windows. Lines
-are hashed; the smallest hash of two neighbouring lines inside a window (or the
-hash of a line that is a window by itself) is its fingerprint, so texts that
-share a run share a fingerprint, whatever stands around it. Positions of
-fingerprints that occur more than once are extended both ways, to all smallest
-runs that begin or end around them, and each of those is compared with all
-earlier positions by its first one. Their union is all of a repeated run.
+Lines are hashed. Of each two pairs of neighbouring lines that follow each
+other, the smaller hash is a fingerprint; so are each pair and each line that
+reach ``min_words`` by themselves. A run of so many words is one such line, one
+such pair, or has two pairs: texts that share a run share a fingerprint,
+whatever stands around it. Positions of fingerprints that occur more than once
+are extended both ways, to all smallest runs of ``min_words`` words that hold
+them, and each of those is compared with all earlier positions by its first
+one. Their union is all of a repeated run.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ MIN_WORDS = 20
 #: Values with more than this part of all positions are frequent; there cannot be more of them than this.
 SHARE = 2000
 #: What ends a line: a line break or a sentence's end, with the blanks that follow.
+ENDS = ("\n", ". ", "! ", "? ")
 END = r"(?:\n|[.!?] )[ \t\r\n]*"
 CUT = "\x01"
 BLANK = " \t\r\n"
@@ -37,18 +39,35 @@ NO_ID = -(2**63)
 
 def lines_of(text: Column) -> Column:
     """The lines of a text; put together again they are the text, but for the cut character, which counts as a space."""
-    return F.split(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(CUT), F.lit(" ")), END, "$0" + CUT), CUT)
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(CUT), F.lit(" "))
+    quick = plain
+    for end in ENDS:
+        quick = F.replace(quick, F.lit(end), F.lit(end + CUT))
+    # Only where blanks follow an end does its line have to be found by the pattern.
+    odd = lambda m: _all_or([F.contains(m, F.lit(CUT + b)) for b in BLANK])
+    marked = F.transform(F.array(quick), lambda m: F.when(odd(m), F.regexp_replace(plain, END, "$0" + CUT)).otherwise(m))
+    return F.split(F.get(marked, F.lit(0)), CUT)
+
+
+def _all_or(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
 
 
 def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def _words(key: Column) -> Column:
+def _words(key: Column, odd: Column | None = None) -> Column:
+    """Words of a key. Only where there are other blanks than spaces, or several together, is a pattern needed; ``odd`` says so for a whole text."""
     spaces = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(" "), F.lit("")))
-    # Only keys with other blanks, or several together, need a pattern.
-    odd = F.contains(key, F.lit("  ")) | F.contains(key, F.lit("\t")) | F.contains(key, F.lit("\r"))
-    return F.when(key == "", 0).when(odd, F.size(F.split(key, f"[{BLANK}]+"))).otherwise(spaces + 1)
+    return F.when(key == "", 0).when(_odd(key) if odd is None else odd, F.size(F.split(key, f"[{BLANK}]+"))).otherwise(spaces + 1)
+
+
+def _odd(text: Column) -> Column:
+    return _all_or([F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r")])
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -56,27 +75,25 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("of"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")]
 
 
-def _size_of_window(min_words: int) -> str:
-    """SQL: lines from ``i`` on that reach the words, null where the text ends before; no window begins without a word."""
-    test = "NULL"
+def _reach(min_words: int, step: str, inside: str, full: str) -> str:
+    """SQL: lines from ``i`` on, forwards or backwards, until their words reach ``min_words``; ``full`` where the text ends before."""
+    test = full
     for n in range(min_words, 0, -1):
-        total = " + ".join(f"get(w, i + {k})" for k in range(n))
-        test = f"IF({total} >= {min_words}, {n}, IF(i + {n} >= size(w), NULL, {test}))"
-    return f"IF(get(w, i) = 0, NULL, {test})"
+        total = " + ".join(f"get(w, i {step} {k})" for k in range(n))
+        test = f"IF({total} >= {min_words}, {n}, IF({inside.format(n=n)}, {full}, {test}))"
+    return test
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(of, crc, h, k, j, last, prints) of each row: two hashes and the window's size by line, the last line with a word, and the fingerprints as (fp, a, z, n): windows from a to z have fp, which stands at n places there."""
-    rows = docs.select(*row_key(id_col, text_col), F.transform(lines_of(F.col(text_col)), _key).alias("keys"))
-    rows = rows.select("of", "crc", F.transform("keys", lambda x: F.xxhash64(x)).alias("h"), F.transform("keys", lambda x: F.xxhash64(F.lit(1), x)).alias("k"), F.transform("keys", lambda x: F.least(_words(x), F.lit(min_words))).alias("w"))
-    rows = rows.withColumn("j", F.expr(f"transform(sequence(0, size(w) - 1), i -> CAST({_size_of_window(min_words)} AS INT))"))
-    rows = rows.withColumn("g", F.expr("IF(size(h) < 2, array(), transform(sequence(0, size(h) - 2), i -> xxhash64(get(h, i), get(h, i + 1))))"))
-    rows = rows.withColumn("m", F.expr("transform(j, (n, i) -> CASE WHEN n = 1 THEN xxhash64(get(h, i)) WHEN n > 1 THEN array_min(slice(g, i + 1, n - 1)) END)"))
-    rows = rows.withColumn("b", F.expr("filter(sequence(0, size(m) - 1), i -> get(m, i) IS NOT NULL AND NOT (get(m, i) <=> get(m, i - 1)))"))
-    # A value that stands twice in windows that follow each other is as good as one in two texts.
-    places = "IF(get(j, x) = 1, coalesce(get(b, q + 1), size(m)) - x, size(filter(slice(g, x + 1, coalesce(get(b, q + 1), size(m)) - x - 2 + coalesce(get(j, coalesce(get(b, q + 1), size(m)) - 1), 1)), y -> y = get(m, x))))"
-    prints = F.expr(f"transform(b, (x, q) -> struct(get(m, x) AS fp, x AS a, coalesce(get(b, q + 1), size(m)) - 1 AS z, {places} AS n))")
-    return rows.select("of", "crc", "h", "k", "j", F.expr("size(w) - IF(get(w, size(w) - 1) = 0, 2, 1)").alias("last"), prints.alias("prints"))
+    """(of, crc, h, k, w, prints) of each row: two hashes and the words, up to ``min_words``, by line; the fingerprints as (fp, a), a being the first line."""
+    rows = docs.select(*row_key(id_col, text_col), _odd(F.coalesce(F.col(text_col), F.lit(""))).alias("odd"), F.transform(lines_of(F.col(text_col)), _key).alias("keys"))
+    words = F.transform("keys", lambda x: F.least(_words(x, F.col("odd")), F.lit(min_words)))
+    rows = rows.select("of", "crc", F.transform("keys", lambda x: F.xxhash64(x)).alias("h"), F.transform("keys", lambda x: F.xxhash64(F.lit(1), x)).alias("k"), words.alias("w"))
+    rows = rows.withColumn("g", F.expr("IF(size(h) < 2, array(), transform(slice(h, 1, size(h) - 1), (x, i) -> xxhash64(x, get(h, i + 1))))"))
+    rows = rows.withColumn("picked", F.expr(f"filter(transform(g, (x, i) -> IF(x <= get(g, i + 1) OR x < get(g, i - 1) OR get(w, i) + get(w, i + 1) >= {min_words}, i, NULL)), i -> i IS NOT NULL)"))
+    long = F.expr(f"filter(transform(w, (n, i) -> IF(n >= {min_words}, i, NULL)), i -> i IS NOT NULL)")
+    prints = F.concat(F.transform("picked", lambda i: F.struct(F.get("g", i).alias("fp"), i.alias("a"))), F.transform(long, lambda i: F.struct(F.xxhash64(F.get("h", i)).alias("fp"), i.alias("a"))))
+    return rows.select("of", "crc", "h", "k", F.col("w").cast("array<tinyint>").alias("w"), prints.alias("prints"))
 
 
 def _several(table: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
@@ -90,18 +107,26 @@ def _several(table: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
     return table.join(hot.drop("n"), key).unionByName(table.join(hot.select(*key), key, "left_anti").join(shuffled(cold.drop("n")), key))
 
 
-def _runs(lines: DataFrame) -> DataFrame:
+def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that stand earlier too; runs of a row do not touch."""
     prints = lines.select("of", "crc", F.explode("prints").alias("p")).select("of", "crc", "p.*")
-    shared = written(prints.groupBy("fp").agg(F.sum("n").cast("long").alias("n")).where("n > 1"), "prints")
-    near = _several(prints.select("of", "crc", "fp", "a", "z"), shared, ["fp"])
-    around = near.groupBy("of", "crc").agg(F.collect_set(F.struct("a", "z")).alias("around"))
-    met = lines.select("of", "crc", "h", "k", "j", "last").join(shuffled(around), ["of", "crc"])
-    # From each line the smallest run that reaches the words, and the longer ones that begin there as late as they can.
-    ends = "sequence(s + get(j, s) - 1, greatest(s + get(j, s) - 1, coalesce(s + get(j, s + 1) - 1, last)))"
-    window = "struct(xxhash64(slice(h, s + 1, t - s + 1)) AS h, xxhash64(slice(k, s + 1, t - s + 1)) AS k, s AS a, t AS z)"
-    starts = "filter(flatten(transform(around, r -> sequence(r.a, r.z))), s -> get(j, s) IS NOT NULL)"
-    windows = met.select("of", "crc", F.expr(f"explode(flatten(transform({starts}, s -> transform({ends}, t -> {window}))))").alias("p"))
+    shared = written(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "prints")
+    near = _several(prints, shared, ["fp"])
+    around = near.groupBy("of", "crc").agg(F.collect_set("a").alias("around"))
+    met = lines.select("of", "crc", "h", "k", F.col("w").cast("array<int>").alias("w")).join(shuffled(around), ["of", "crc"])
+    # Lines from which a smallest run can hold a fingerprint's position: fewer words than asked for stand before it.
+    back = _reach(min_words, "-", "i < {n}", "i + 1")
+    starts = F.expr(f"array_distinct(flatten(transform(around, i -> sequence(i + 1 - least(i + 1, 1 + IF(i = 0, 0, {back.replace('get(w, i - ', 'get(w, i - 1 - ')})), i))))")
+    met = met.select("of", "crc", "h", "k", "w", starts.alias("starts"))
+    # From each such line, and the one after it, how many lines reach the words; no run begins or ends without a word.
+    ahead = _reach(min_words, "+", "i + {n} >= size(w)", "NULL")
+    sizes = F.expr(f"transform(starts, i -> named_struct('s', i, 'j', {ahead}, 'j1', {ahead.replace('(w, i + ', '(w, i + 1 + ').replace('IF(i + ', 'IF(1 + i + ')}))")
+    last = F.expr("size(w) - IF(get(w, size(w) - 1) = 0, 2, 1)")
+    met = met.select("of", "crc", "h", "k", last.alias("last"), F.filter(sizes, lambda r: r["j"].isNotNull()).alias("sizes"), "w")
+    # The smallest run from the line, and the longer ones that begin there as late as they can.
+    ends = "sequence(r.s + r.j - 1, greatest(r.s + r.j - 1, coalesce(r.s + r.j1 - 1, last)))"
+    window = "struct(xxhash64(slice(h, r.s + 1, t - r.s + 1)) AS h, xxhash64(slice(k, r.s + 1, t - r.s + 1)) AS k, r.s AS a, t AS z)"
+    windows = met.select("of", "crc", F.expr(f"explode(flatten(transform(filter(sizes, r -> get(w, r.s) > 0), r -> transform({ends}, t -> {window}))))").alias("p"))
     windows = written(windows.select("of", "crc", "p.*"), "windows")
     first = windows.groupBy("h", "k").agg(F.min(F.struct("of", "crc", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = written(first, "first")
@@ -120,7 +145,7 @@ def _runs(lines: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that are to go; runs of a row do not touch."""
     lines = written(_lines(docs, id_col, text_col, min_words), "lines")
-    found = _runs(lines)
+    found = _runs(lines, min_words)
     discard(lines)
     return found
 
@@ -135,7 +160,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """
     lines = written(_lines(docs, id_col, text_col, min_words), "lines")
     sizes = lines.select("of", "crc", F.size("h").alias("n")).distinct()
-    found = written(sizes.join(shuffled(_runs(lines)), ["of", "crc"], "left"), "found")
+    found = written(sizes.join(shuffled(_runs(lines, min_words)), ["of", "crc"], "left"), "found")
     discard(lines)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     joined = rows.join(shuffled(found), ["of", "crc"], "left")

@@ -54,21 +54,92 @@ def test_base_matches_plain_rules(docs_of, seed):
         assert {tuple(s) for s in r["spans"]} >= set(base)
 
 
+def key(r, n=40, whole=True):
+    """A random hexadecimal key in which each digit occurs, or in which one is missing."""
+    while True:
+        k = "".join(r.choice("0123456789abcdef") for _ in range(n))
+        if (len(set(k)) == 16) == whole:
+            return k
+
+
 def test_bootstrap_finds_unseen(docs_of):
+    r = random.Random(3)
     rows = [(k, f"word here, contact: user{k}@mail.example.com and then more {k} words") for k in range(12)]
     rows += [(50, "contact: user77-at-nowhere9 is an odd one"), (51, "nothing: user77x-at-nowhere9"), (52, "we counted item12345 and so on")]
-    rows += [(60 + k, f"key = \"{k:02d}{'0123456789abcdef' * 2}\" end") for k in range(8)] + [(90, 'key = "short99x" end')]
+    rows += [(60 + k, f'token = "{key(r)}" end') for k in range(8)] + [(90, 'token = "short99x" end'), (91, f'token = "{key(r, whole=False)}" end'), (92, f"other {key(r, whole=False)} end")]
     got = {r["id"]: [tuple(s) for s in r["spans"]] for r in pii.find(docs_of(rows)).collect()}
     assert got[50] == [(0, "email", 9, 27)]
-    assert got[51] == [] and got[52] == []
-    assert [s[1:] for s in got[90]] == [("secret", 7, 15)]
-    assert all(len(got[60 + k]) >= 1 for k in range(8))
+    assert got[51] == [] and got[52] == [] and got[92] == []
+    assert [s[1:] for s in got[90]] == [("secret", 9, 17)] and [s[1:] for s in got[91]] == [("secret", 9, 49)]
+    assert all([s[1:] for s in got[60 + k]] == [("secret", 9, 49)] for k in range(8))
 
 
-def test_patterns_need_support(spark):
-    rows = [("p", f"v{k}", "ip") for k in range(3)] + [("q", "v0", "ip"), ("q", "w", None), ("r", f"v{9}", None)] + [("s", f"x{k}", "ip" if k < 3 else None) for k in range(9)]
-    got = {r["pattern"]: r["confidence"] for r in pii.patterns(spark.createDataFrame(rows, "pattern string, value string, seed string")).collect()}
-    assert got == {"p": 0.75}
+def test_common_words_are_no_patterns(docs_of):
+    """Each time that a word stands without an instance counts against it, in whatever text."""
+    rows = [(k, f"see user{k}x@mail.example.com here") for k in range(6)] + [(20, "see number77x there"), (21, "see and see and see and see again")]
+    got = {r["id"]: [tuple(s) for s in r["spans"]] for r in pii.find(docs_of(rows[:-1])).collect()}
+    assert got[20] == [(0, "email", 4, 13)]
+    got = {r["id"]: [tuple(s) for s in r["spans"]] for r in pii.find(docs_of(rows)).collect()}
+    assert got[20] == []
+
+
+def brute_patterns(rows, bare, rounds=3, confident=0.7, support=3):
+    """The bootstrap by loops over distinct (cue, closer, value)."""
+    edges = {}
+    for cue, closer, value, text, seed in rows:
+        now = edges.setdefault((cue, closer, value), [None, set()])
+        now[0] = max(filter(None, (now[0], seed)), default=None)
+        now[1].add(text)
+
+    def shape(v):
+        return tuple(bool(re.search(f"[{c}]", v)) for c in ("0-9", "a-f", "g-z", "A-Z", "^0-9A-Za-z")), len(v)
+
+    seeds = {(v, s): 1.0 for (_, _, v), (s, _) in edges.items() if s}
+    sure, found = dict(seeds), {}
+    for k in range(rounds):
+        found = {}
+        for p in {e[:2] for e in edges}:
+            own = [(v, x) for (c, q, v), x in edges.items() if (c, q) == p]
+            for kind in {s for _, s in sure}:
+                held = [v for v, _ in own if (v, kind) in sure]
+                shapes = {shape(v) for v in held}
+                mass = sum(sure[v, kind] for v in held)
+                against = sum(shape(v) not in shapes for v, _ in own) + bare.get(p[0], 0)
+                if len(held) >= support and len({min(x[1]) for v, x in own if v in held}) >= support and mass / (mass + against + 1) >= confident:
+                    found[p, kind] = mass / (mass + against + 1)
+        if k + 1 < rounds:
+            sure = dict(seeds)
+            for kind in {q for _, q in found}:
+                for v in {e[2] for e in edges}:
+                    doubt = 1.0
+                    for p in {e[:2] for e in edges if e[2] == v}:
+                        doubt *= 1 - min(found.get((p, kind), 0), 0.999)
+                    if doubt < 1 and (v, kind) not in sure:
+                        sure[v, kind] = 1 - doubt
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(400):
+        value = r.choice(["v", "w", "X", "a1", "zz-"]) + str(r.randrange(10, 60))
+        rows.append((r.choice(["p ", "q: ", "s = ", "t ", "u=", "v#"]), r.choice(["", "", '"']), value, r.randrange(40), {"v": "ip", "X": "email"}.get(value[0]) if r.random() < 0.5 else None))
+    rows = [x for x in rows if x[0] != "q: " or x[2][0] == "v"] + [("n: ", "", f"v{k}", k, "ip") for k in range(10, 16)] + [("n: ", "", f"v{k}", k, None) for k in range(70, 80)] + [("m: ", "", f"v{k}", k, None) for k in range(70, 76)] + [("o ", "", f"v{k}", 7, "ip") for k in range(10, 19)]
+    bare = {"q: ": 1, "p ": 30, "m: ": 0}
+    got = pii.patterns(spark.createDataFrame(rows, "cue string, closer string, value string, text long, seed string"), spark.createDataFrame(list(bare.items()), "cue string, n long"))
+    want = brute_patterns(rows, bare)
+    assert {((x["cue"], x["closer"]), x["kind"]): round(x["confidence"], 9) for x in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert (("m: ", ""), "ip") in want and (("o ", ""), "ip") not in want
+
+
+def test_very_long_cues_and_instances(docs_of):
+    r = random.Random(4)
+    word = "w" * 60
+    rows = [(k, f"{word}: {key(r)}") for k in range(6)] + [(10, f"{word}: " + "x" * 100 + "7y"), (11, ("a" * 200_000 + " ") + f"{word}: {key(r, whole=False)}"), (12, "b" * 300_000 + "1")]
+    got = {x["id"]: [tuple(s)[1:] for s in x["spans"]] for x in pii.find(docs_of(rows)).collect()}
+    assert got[10] == [("secret", 62, 164)] and got[11] == [("secret", 200_063, 200_103)] and got[12] == []
 
 
 def test_digest_columns_and_empty(docs_of):
