@@ -7,21 +7,19 @@ earlier row or further up in the same one, word for word but for blanks at the
 ends of lines. Each such run is judged for itself; runs that only touch never
 add up.
 
-Lines are hashed. Of each two pairs of neighbouring lines that follow each
-other, the smaller hash is a fingerprint; so are each pair and each line that
-reach ``min_words`` by themselves. A run of so many words is one such line, one
-such pair, or has two pairs: texts that share a run share a fingerprint,
-whatever stands around it. Positions of fingerprints that occur more than once
-are extended both ways, to all smallest runs of ``min_words`` words that hold
-them, and each of those is compared with all earlier positions by its first
-one. Their union is all of a repeated run.
+Lines are hashed. Of each two neighbouring lines the smaller hash is a
+fingerprint, and so is each line that reaches ``min_words`` by itself. A run of
+so many words is such a line or has two lines: texts that share a run share a
+fingerprint, whatever stands around it. Positions of fingerprints that occur
+more than once are extended both ways, to all smallest runs of ``min_words``
+words that hold them, and each of those is compared with all earlier positions
+by its first one. Their union is all of a repeated run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._store import discard, shuffled, written
 
@@ -85,15 +83,14 @@ def _reach(min_words: int, step: str, inside: str, full: str) -> str:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(of, crc, h, k, w, prints) of each row: two hashes and the words, up to ``min_words``, by line; the fingerprints as (fp, a), a being the first line."""
+    """(of, crc, h, k, w, prints) of each row: hash and words, up to ``min_words``, by line, a second hash of lines that reach them; the fingerprints as (fp, a), a being the line."""
     rows = docs.select(*row_key(id_col, text_col), _odd(F.coalesce(F.col(text_col), F.lit(""))).alias("odd"), F.transform(lines_of(F.col(text_col)), _key).alias("keys"))
     words = F.transform("keys", lambda x: F.least(_words(x, F.col("odd")), F.lit(min_words)))
-    rows = rows.select("of", "crc", F.transform("keys", lambda x: F.xxhash64(x)).alias("h"), F.transform("keys", lambda x: F.xxhash64(F.lit(1), x)).alias("k"), words.alias("w"))
-    rows = rows.withColumn("g", F.expr("IF(size(h) < 2, array(), transform(slice(h, 1, size(h) - 1), (x, i) -> xxhash64(x, get(h, i + 1))))"))
-    rows = rows.withColumn("picked", F.expr(f"filter(transform(g, (x, i) -> IF(x <= get(g, i + 1) OR x < get(g, i - 1) OR get(w, i) + get(w, i + 1) >= {min_words}, i, NULL)), i -> i IS NOT NULL)"))
-    long = F.expr(f"filter(transform(w, (n, i) -> IF(n >= {min_words}, i, NULL)), i -> i IS NOT NULL)")
-    prints = F.concat(F.transform("picked", lambda i: F.struct(F.get("g", i).alias("fp"), i.alias("a"))), F.transform(long, lambda i: F.struct(F.xxhash64(F.get("h", i)).alias("fp"), i.alias("a"))))
-    return rows.select("of", "crc", "h", "k", F.col("w").cast("array<tinyint>").alias("w"), prints.alias("prints"))
+    rows = rows.select("of", "crc", "keys", F.transform("keys", lambda x: F.xxhash64(x)).alias("h"), words.alias("w"))
+    # Of two neighbours of one hash both are as good; the lone line of a text is a fingerprint if it is long enough.
+    picked = F.expr(f"filter(transform(h, (x, i) -> IF(x <= get(h, i + 1) OR x < get(h, i - 1) OR get(w, i) >= {min_words}, struct(x AS fp, i AS a), NULL)), p -> p IS NOT NULL)")
+    second = F.transform("w", lambda n, i: F.when(n >= min_words, F.xxhash64(F.lit(1), F.get("keys", i))).otherwise(F.lit(0).cast("long")))
+    return rows.select("of", "crc", "h", second.alias("k"), F.col("w").cast("array<tinyint>").alias("w"), picked.alias("prints"))
 
 
 def _several(table: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
@@ -125,19 +122,20 @@ def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     met = met.select("of", "crc", "h", "k", last.alias("last"), F.filter(sizes, lambda r: r["j"].isNotNull()).alias("sizes"), "w")
     # The smallest run from the line, and the longer ones that begin there as late as they can.
     ends = "sequence(r.s + r.j - 1, greatest(r.s + r.j - 1, coalesce(r.s + r.j1 - 1, last)))"
-    window = "struct(xxhash64(slice(h, r.s + 1, t - r.s + 1)) AS h, xxhash64(slice(k, r.s + 1, t - r.s + 1)) AS k, r.s AS a, t AS z)"
+    # Two hashes of a run's line hashes; where the run is one line, of the line itself.
+    window = "struct(xxhash64(slice(h, r.s + 1, t - r.s + 1)) AS h, xxhash64(1, IF(t = r.s, get(k, t), 0), slice(h, r.s + 1, t - r.s + 1)) AS k, r.s AS a, t AS z)"
     windows = met.select("of", "crc", F.expr(f"explode(flatten(transform(filter(sizes, r -> get(w, r.s) > 0), r -> transform({ends}, t -> {window}))))").alias("p"))
     windows = written(windows.select("of", "crc", "p.*"), "windows")
     first = windows.groupBy("h", "k").agg(F.min(F.struct("of", "crc", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = written(first, "first")
     again = _several(windows, first, ["h", "k"])
     spans = again.where((F.col("of") != F.col("first.of")) | (F.col("crc") != F.col("first.crc")) | (F.col("a") != F.col("first.a"))).select("of", "crc", "a", "z")
-    # Runs that touch become one: a new one begins where a start lies beyond all ends before it.
-    of_row = Window.partitionBy("of", "crc").orderBy("a", "z")
-    begun = spans.distinct().withColumn("reach", F.max("z").over(of_row.rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = begun.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach") + 1, 0).otherwise(1)).over(of_row))
-    runs = numbered.groupBy("of", "crc", "run").agg(F.min("a").alias("a"), F.max("z").alias("z"))
-    found = written(runs.groupBy("of", "crc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("found")), "runs")
+    # All lines of a row's runs, in order; a run begins where the line before is none of them.
+    gone = F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda p: F.sequence(p["a"], p["z"])))))
+    by_row = spans.groupBy("of", "crc").agg(F.collect_list(F.struct("a", "z")).alias("spans")).select("of", "crc", gone.alias("gone"))
+    begins = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", F.greatest(i - 1, F.lit(0))) != x - 1))
+    ends = F.filter("gone", lambda x, i: F.coalesce(F.get("gone", i + 1) != x + 1, F.lit(True)))
+    found = written(by_row.select("of", "crc", F.arrays_zip(begins.alias("a"), ends.alias("z")).alias("found")), "runs")
     discard(shared, windows, first)
     return found
 
