@@ -94,9 +94,12 @@ def takeable(owner: Column, counter: Column, last_seen: Column) -> Column:
     return owner.isNull() | F.coalesce(counter == last_seen, F.lit(False))
 
 
-def leader_step(owner: Column, expired: Column, me: str) -> Column:
-    """renew, create, steal or follow: what a worker does about the leader row."""
-    return F.when(owner.isNull(), "create").when(owner == me, "renew").when(expired, "steal").otherwise("follow")
+def leader_step(owner: Column, counter: Column, expired: Column, me: str) -> Column:
+    """renew, create, steal or follow: what a worker does about the leader row. A null counter means that there is none.
+
+    A row without an owner has been released: it is taken like an expired one, on the counter that was seen.
+    """
+    return F.when(counter.isNull(), "create").when(owner == me, "renew").when(owner.isNull() | expired, "steal").otherwise("follow")
 
 
 def owned(leases: DataFrame, me: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.positions import child_seed, is_pseudo, start_mode
 from millrace.schema import CLOSED_BY_SYNC
+from millrace.session import written
 
 
 def first_seen(raw: DataFrame) -> DataFrame:
@@ -118,20 +117,57 @@ def parents_to_sync(leases: DataFrame, synced: DataFrame) -> DataFrame:
     return rows.where("completed").select(F.col("lease_key").alias("id")).join(published, "id", "left_anti").join(synced.select("id"), "id", "left_anti")
 
 
-def generations(shards: DataFrame, limit: int = 100) -> DataFrame:
-    """(id, generation): roots are 0, a child comes one after its latest parent. Parents that are no shards do not count."""
-    name = f"lineage_{uuid.uuid4().hex}"
-    shards.select("id", "parents").createOrReplaceTempView(name)
-    return shards.sparkSession.sql(f"""
-        WITH RECURSIVE links AS (
-          SELECT l.id, l.parent FROM (SELECT id, explode(parents) AS parent FROM {name}) l LEFT SEMI JOIN {name} s ON l.parent = s.id
-        ), walk(id, generation) MAX RECURSION LEVEL {int(limit)} AS (
-          SELECT s.id, 0 FROM {name} s LEFT ANTI JOIN links l ON s.id = l.id
-          UNION ALL
-          SELECT l.id, w.generation + 1 FROM walk w JOIN links l ON l.parent = w.id
-        )
-        SELECT id, max(generation) AS generation FROM walk GROUP BY id
-    """)
+#: Links that the driver takes in to number generations by itself; larger graphs go level by level in Spark.
+DRIVER_LINKS = 1_000_000
+
+
+def generations(shards: DataFrame, most: int = DRIVER_LINKS) -> DataFrame:
+    """(id, generation): roots are 0, a child comes one after its latest parent. Parents that are no shards do not count.
+
+    Each link is looked at once per level at most, whatever the number of paths, and there is no limit of depth. A
+    graph of at most ``most`` links is numbered on the driver, which checks that before it takes them.
+    """
+    ids = shards.select("id").distinct()
+    links = _links(shards).distinct().join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
+    few = links.limit(most + 1).collect()
+    if len(few) <= most:
+        level = _numbered([(r["id"], r["parent"]) for r in few])
+        known = shards.sparkSession.createDataFrame(list(level.items()), "id string, generation int")
+        return ids.join(known, "id", "left").select("id", F.coalesce("generation", F.lit(0)).alias("generation"))
+    links = written(links, "links")
+    done = written(ids.join(links.select("id").distinct(), "id", "left_anti").withColumn("generation", F.lit(0)), "level")
+    before, now, level = 0, done.count(), 0
+    while now > before:
+        # All children of the last level rise; what rises again later is overwritten by its greatest level.
+        level += 1
+        last = done.where(F.col("generation") == level - 1).select(F.col("id").alias("parent"))
+        risen = links.join(last, "parent", "left_semi").select("id").distinct().withColumn("generation", F.lit(level))
+        risen = written(risen, "level")
+        before, now = 0, risen.count()
+        done = written(done.unionByName(risen).groupBy("id").agg(F.max("generation").alias("generation")), "level")
+        if level > DRIVER_LINKS:
+            raise ValueError("a shard is its own ancestor")
+    return done
+
+
+def _numbered(links: list[tuple[str, str]]) -> dict[str, int]:
+    """Generations of all ends of the links (child, parent), each shard after all its parents."""
+    children: dict[str, list[str]] = {}
+    waits: dict[str, int] = {}
+    for child, parent in links:
+        children.setdefault(parent, []).append(child)
+        waits[child] = waits.get(child, 0) + 1
+    level = {p: 0 for p in children if p not in waits}
+    ready = list(level)
+    for shard in ready:
+        for child in children.get(shard, ()):
+            level[child] = max(level.get(child, 0), level[shard] + 1)
+            waits[child] -= 1
+            if not waits[child]:
+                ready.append(child)
+    if any(waits.values()):
+        raise ValueError(f"a shard is its own ancestor: {sorted(s for s, n in waits.items() if n)[:5]}")
+    return level
 
 
 def delivery_order(records: DataFrame, shards: DataFrame) -> DataFrame:

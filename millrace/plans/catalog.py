@@ -268,9 +268,9 @@ def attr_recursive(spark, sf):
     user = F.col("user_id").cast("string")
     image = F.concat(F.lit('{"z":{"B":[1,2,'), (F.col("user_id") % 256).cast("string"), F.lit(']},"a":{"M":{"b":{"L":[{"S":"x"},"Null",{"N":"'), user, F.lit('"}]},"c":{"Bool":true}}}}'))
     rows = d.change_log(spark, sf).select("event_id", image.alias("image"))
-    seen = rows.select("event_id", "image", codec.native_json("image").alias("native"), codec.typed_json("image").alias("typed"))
-    same = F.to_json(F.parse_json(codec.wire_json("typed"))) == F.to_json(F.parse_json("image"))
-    return seen.select("event_id", "native", "typed", same.alias("round_trip"))
+    seen = rows.select("event_id", "image", codec.views("image").alias("v"))
+    same = F.to_json(F.parse_json("v.wire")) == F.to_json(F.parse_json("image"))
+    return seen.select("event_id", "v.native", "v.typed", same.alias("round_trip"))
 
 
 # --- Lineage ----------------------------------------------------------------------------------------------------
@@ -458,12 +458,15 @@ def leases_with_expiry(spark, sf):
 
 
 @_query(f"""
-WITH {d.LEASES} SELECT lease_key, CASE WHEN owner IS NULL THEN 'create' WHEN owner = 'w2' THEN 'renew' WHEN expired THEN 'steal' ELSE 'follow' END AS decision,
-  owner IS NULL OR counter = 2 AS takeable FROM leases
+WITH {d.LEASES}, rows_seen AS (SELECT lease_key, CASE WHEN counter % 5 > 0 THEN owner END AS owner, CASE WHEN counter % 5 > 0 THEN counter END AS counter, expired FROM leases)
+SELECT lease_key, CASE WHEN counter IS NULL THEN 'create' WHEN owner = 'w2' THEN 'renew' WHEN owner IS NULL OR expired THEN 'steal' ELSE 'follow' END AS decision,
+  owner IS NULL OR counter = 2 AS takeable FROM rows_seen
 """)
 def leader_decision(spark, sf):
-    rows = d.leases(spark, sf)
-    return rows.select("lease_key", leases.leader_step(F.col("owner"), F.col("expired"), "w2").alias("decision"), leases.takeable(F.col("owner"), F.col("counter"), F.lit(2)).alias("takeable"))
+    """Leases whose counter is a multiple of five stand for rows that are missing."""
+    there = F.col("counter") % 5 > 0
+    rows = d.leases(spark, sf).select("lease_key", F.when(there, F.col("owner")).alias("owner"), F.when(there, F.col("counter")).alias("counter"), "expired")
+    return rows.select("lease_key", leases.leader_step(F.col("owner"), F.col("counter"), F.col("expired"), "w2").alias("decision"), leases.takeable(F.col("owner"), F.col("counter"), F.lit(2)).alias("takeable"))
 
 
 @_query(f"WITH {d.LEASES} SELECT lease_key FROM leases WHERE owner = 'w2' AND NOT completed")
@@ -489,7 +492,38 @@ def graph_from_leases(spark, sf):
     return lineage.graph_from_leases(d.shard_leases(spark, sf)).select("id", F.array_join("parents", ",").alias("parents"))
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE {d.CHANGE_LOG},
+ops AS (
+  SELECT pk AS k, event_id AS moment, list_value('create', 'claim', 'renew', 'checkpoint', 'heartbeat', 'acquire', 'complete', 'release', 'delete', 'lead')[1 + event_id % 10] AS op,
+    'w' || (event_id % 2) AS who, seq, row_number() OVER (PARTITION BY pk ORDER BY event_id) AS nth
+  FROM change_log
+),
+asked AS (SELECT *, CASE WHEN moment % 7 > 0 THEN (nth - 1) % 5 END AS saw FROM ops),
+fold AS (
+  SELECT k, CAST(0 AS BIGINT) AS nth, FALSE AS there, CAST(NULL AS VARCHAR) AS owner, CAST(0 AS BIGINT) AS counter, CAST(NULL AS VARCHAR) AS checkpoint, FALSE AS completed,
+    CAST(NULL AS BIGINT) AS moment, CAST(NULL AS VARCHAR) AS op, FALSE AS ok
+  FROM (SELECT DISTINCT k FROM asked)
+  UNION ALL
+  SELECT k, nth, CASE WHEN op = 'delete' AND ok THEN FALSE ELSE there OR (ok AND op IN ('create', 'acquire', 'heartbeat', 'lead')) END,
+    CASE WHEN NOT ok OR op = 'create' OR op = 'delete' THEN CASE WHEN op = 'delete' AND ok THEN NULL ELSE owner END WHEN op = 'release' THEN NULL ELSE who END,
+    CASE WHEN NOT ok OR op IN ('create', 'complete') THEN counter WHEN op = 'delete' THEN 0 ELSE counter + 1 END,
+    CASE WHEN ok AND (op = 'checkpoint' OR (op = 'create' AND NOT there)) THEN seq WHEN ok AND op = 'delete' THEN NULL ELSE checkpoint END,
+    CASE WHEN ok AND op = 'delete' THEN FALSE ELSE completed OR (ok AND op = 'complete') END, moment, op, ok
+  FROM (
+    SELECT a.k, a.nth, a.moment, a.op, a.who, a.seq, f.there, f.owner, f.counter, f.checkpoint, f.completed,
+      CASE a.op WHEN 'create' THEN TRUE WHEN 'acquire' THEN TRUE WHEN 'heartbeat' THEN TRUE
+        WHEN 'claim' THEN coalesce(f.there AND f.counter = a.saw, FALSE)
+        WHEN 'lead' THEN CASE WHEN f.there THEN coalesce(f.counter = a.saw, FALSE) ELSE a.saw IS NULL END
+        WHEN 'delete' THEN f.there AND f.completed
+        ELSE coalesce(f.there AND f.counter = a.saw AND f.owner = a.who, FALSE) END AS ok
+    FROM fold f JOIN asked a ON a.k = f.k AND a.nth = f.nth + 1
+  )
+)
+SELECT k AS lease_key, moment AS "at", op, ok AS applied, there AS exists, CASE WHEN there THEN owner END AS owner_after, CASE WHEN there THEN counter END AS counter_after,
+  CASE WHEN there THEN checkpoint END AS checkpoint_after, CASE WHEN there THEN completed END AS completed_after
+FROM fold WHERE nth > 0
+""")
 def lease_oplog_apply(spark, sf):
     """Requests derived from the change log: about half carry a counter that is still right."""
     log = d.change_log(spark, sf)
@@ -530,10 +564,11 @@ def stream_drain(spark, sf):
     """The change log written as a shard log, consumed by a worker to its end, and what was acknowledged."""
     import uuid
 
+    from millrace.session import shared_dir
     from millrace.sources import shardlog
     from millrace.streaming.worker import Totals, Worker
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/millrace-stream").removeprefix("file:").replace("//", "/").rstrip("/") + f"/drain-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/drain-{uuid.uuid4().hex}"
     log = d.change_log(spark, sf).select("shard_id", "seq", F.col("pk").alias("data"), "root", "gen")
     graph = log.select("shard_id", "root", "gen").distinct().select(F.col("shard_id").alias("id"), F.when(F.col("gen") > 0, F.array(F.concat(F.lit("shard-"), F.col("root").cast("string"), F.lit("-g"), (F.col("gen") - 1).cast("string")))).otherwise(F.array().cast("array<string>")).alias("parents"), F.col("gen").between(0, 1).alias("ended"))
     shardlog.write_log(log, graph, f"{root}/log")
