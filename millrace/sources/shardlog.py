@@ -4,20 +4,22 @@ A log is a folder that all machines see: ``catalog.jsonl`` lists shards
 (shard_id, parent_shard_id or parents, ended) and ``records/<shard_id>.jsonl``
 holds a shard's records, one JSON object with ``seq`` and ``data`` a line, only
 ever appended to. Offsets are bytes, so that finding the tip reads no record.
+The folder may be on any file system that pyarrow opens by its URI.
 
-Each lineage component is one partition whose reader emits a shard only after
-its ancestors: order and parent-before-child hold inside a task, and across
-batches because a child's records are held back until its parents have ended
-and been read whole. The end of a shard is a row of its own.
+Each shard is one partition, so that a stream has as many tasks as open shards.
+A child's records are held back until its parents have ended in an earlier
+batch, which keeps parents before children whatever tasks run where. The end of
+a shard is a row of its own.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 from urllib.parse import quote
 
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
@@ -25,19 +27,72 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from millrace.schema import LATEST, parse_position
 
 SCHEMA = "component string, generation int, shard_id string, seq string, data string, shard_end boolean"
-#: Bytes that a line is looked for at a time where a batch's share of a shard ends.
+#: Bytes that a line is looked for at a time where a batch's share of a shard ends, and that are read at a time.
 BLOCK = 1 << 16
+READ = 1 << 20
+
+
+class Folder:
+    """Files below a path or URI."""
+
+    def __init__(self, root: str) -> None:
+        if "://" in root or root.startswith("file:"):
+            self.fs, self.root = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        else:
+            self.fs, self.root = pafs.LocalFileSystem(), root
+        self.root = self.root.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def size(self, name: str) -> int:
+        return self.fs.get_file_info(self.path(name)).size or 0
+
+    def read(self, name: str, start: int, end: int) -> bytes:
+        if end <= start:
+            return b""
+        with self.fs.open_input_file(self.path(name)) as f:
+            f.seek(start)
+            return f.read(end - start)
+
+    def lines(self, name: str, start: int, end: int) -> Iterator[bytes]:
+        """The lines from ``start`` up to ``end``, which is the end of a line; a block at a time."""
+        rest = b""
+        with self.fs.open_input_file(self.path(name)) as f:
+            f.seek(start)
+            at = start
+            while at < end:
+                block = f.read(min(READ, end - at))
+                if not block:
+                    break
+                at += len(block)
+                *whole, rest = (rest + block).split(b"\n")
+                yield from whole
+        if rest:
+            yield rest
+
+    def replace(self, name: str, parts: Iterator[bytes], attempt: str) -> None:
+        """Write a file whole: under another name, then renamed, so that a repeated attempt leaves one result."""
+        target = self.path(name)
+        self.fs.create_dir(target.rpartition("/")[0], recursive=True)
+        with self.fs.open_output_stream(f"{target}.{attempt}") as f:
+            for part in parts:
+                f.write(part)
+        self.fs.move(f"{target}.{attempt}", target)
+
+
+def records_file(shard: str) -> str:
+    return f"records/{quote(shard, safe='')}.jsonl"
 
 
 class Catalog:
     """The lineage of a log's shards, read at one moment."""
 
     def __init__(self, root: str) -> None:
-        self.root = Path(root.removeprefix("file://"))
+        self.folder = Folder(root)
         self.parents: dict[str, list[str]] = {}
         self.ended: set[str] = set()
-        path = self.root / "catalog.jsonl"
-        rows = [json.loads(x) for x in path.read_text().splitlines() if x.strip()] if path.exists() else []
+        rows = [json.loads(x) for x in self.folder.read("catalog.jsonl", 0, self.folder.size("catalog.jsonl")).splitlines() if x.strip()]
         for r in rows:
             # The first row of a shard names its parents; any may say that it has ended.
             given = r.get("parents") or [p for p in [r.get("parent_shard_id")] if p]
@@ -71,59 +126,47 @@ class Catalog:
                 self.generation[s] = 1 + max((self.generation[p] for p in self.parents[s]), default=-1)
                 path.pop()
 
-    def file(self, shard: str) -> Path:
-        return self.root / "records" / f"{quote(shard, safe='')}.jsonl"
-
     def size(self, shard: str) -> int:
-        path = self.file(shard)
-        return path.stat().st_size if path.exists() else 0
+        return self.folder.size(records_file(shard))
 
     def whole(self, shard: str, start: int, end: int) -> int:
         """The end of the last whole line up to ``end``, or of the first one after it if that is longer."""
-        size = self.size(shard)
+        name, size = records_file(shard), self.size(shard)
         end = min(end, size)
-        if end <= start:
-            return start
-        with self.file(shard).open("rb") as f:
-            at = end
-            while at > start:
-                low = max(start, at - BLOCK)
-                f.seek(low)
-                k = f.read(at - low).rfind(b"\n")
-                if k >= 0:
-                    return low + k + 1
-                at = low
-            f.seek(end)
-            f.readline()
-            f.seek(-1, 1)
-            return f.tell() + 1 if f.read(1) == b"\n" else start
+        at = end
+        while at > start:
+            low = max(start, at - BLOCK)
+            k = self.folder.read(name, low, at).rfind(b"\n")
+            if k >= 0:
+                return low + k + 1
+            at = low
+        at = max(start, end)
+        while start < end and at < size:
+            k = self.folder.read(name, at, min(at + BLOCK, size)).find(b"\n")
+            if k >= 0:
+                return at + k + 1
+            at += BLOCK
+        return start
 
 
 class Share(InputPartition):
-    """What one task reads: (shard, generation, first byte, last byte, whether its end follows) in order."""
+    """What one task reads: a shard's bytes from ``start`` to ``end``, and whether its end follows."""
 
-    def __init__(self, component: str, root: str, parts: list[tuple[str, int, int, int, bool]]) -> None:
-        super().__init__(component)
-        self.component, self.root, self.parts = component, root, parts
+    def __init__(self, root: str, component: str = "", shard: str = "", generation: int = 0, start: int = 0, end: int = 0, last: bool = False) -> None:
+        super().__init__(shard)
+        self.root, self.component, self.shard, self.generation, self.start, self.end, self.last = root, component, shard, generation, start, end, last
 
 
 def read_share(share: Share) -> Iterator[tuple]:
-    catalog = Path(share.root.removeprefix("file://"))
-    for shard, generation, start, end, last in share.parts:
-        if end > start:
-            with (catalog / "records" / f"{quote(shard, safe='')}.jsonl").open("rb") as f:
-                f.seek(start)
-                at = start
-                while at < end:
-                    line = f.readline()
-                    at += len(line)
-                    record = json.loads(line)
-                    # Records without a payload or a number are no deliveries.
-                    if record.get("seq") and record.get("data") is not None:
-                        data = record["data"]
-                        yield share.component, generation, shard, record["seq"], data if isinstance(data, str) else json.dumps(data), False
-        if last:
-            yield share.component, generation, shard, None, None, True
+    if share.end > share.start:
+        for line in Folder(share.root).lines(records_file(share.shard), share.start, share.end):
+            record = json.loads(line)
+            # Records without a payload or a number are no deliveries.
+            if record.get("seq") and record.get("data") is not None:
+                data = record["data"]
+                yield share.component, share.generation, share.shard, record["seq"], data if isinstance(data, str) else json.dumps(data), False
+    if share.last:
+        yield share.component, share.generation, share.shard, None, None, True
 
 
 class ShardLogStreamReader(DataSourceStreamReader):
@@ -132,8 +175,8 @@ class ShardLogStreamReader(DataSourceStreamReader):
     One instance serves a query's whole run; where it stands is known from the last end that ``partitions`` got.
     """
 
-    def __init__(self, root: str, position: str | None, most: int | None) -> None:
-        self.root, self.most = root, most
+    def __init__(self, root: str, position: str | None, most: int | None, shards: int | None = None) -> None:
+        self.root, self.most, self.shards = root, most, shards
         self.seen: dict[str, list] = {}
         self.first: dict[str, list] | None = None
         if position == LATEST:
@@ -148,11 +191,13 @@ class ShardLogStreamReader(DataSourceStreamReader):
         return {**(self.first or {}), **self.seen}
 
     def latestOffset(self) -> dict:
-        catalog, floor, out = Catalog(self.root), self._floor(), {}
-        for s in sorted(catalog.parents, key=lambda s: (catalog.generation[s], s)):
+        catalog, floor, out, open_now = Catalog(self.root), self._floor(), {}, 0
+        # Shards that have begun come first, so that a bound on their number lets each of them end.
+        for s in sorted(catalog.parents, key=lambda s: (not floor.get(s, [0, False])[0], catalog.generation[s], s)):
             at, ended = floor.get(s, [0, False])
-            # A child waits until its parents' ends have been delivered or are in this very batch, before it.
-            if not ended and all(out[p][1] for p in catalog.parents[s]):
+            # A child waits until its parents' ends have been delivered by an earlier batch.
+            if not ended and all(floor.get(p, [0, False])[1] for p in catalog.parents[s]) and (self.shards is None or open_now < self.shards):
+                open_now += 1
                 size = catalog.size(s)
                 at = max(at, catalog.whole(s, at, min(size, at + self.most) if self.most else size))
                 ended = s in catalog.ended and at >= size
@@ -163,13 +208,13 @@ class ShardLogStreamReader(DataSourceStreamReader):
         a, b = start["shards"], end["shards"]
         self.seen = {s: max(b[s], self.seen.get(s, [0, False])) for s in b}
         if a == b:
-            return [Share("", self.root, [])]
-        catalog, shares = Catalog(self.root), {}
-        for s in sorted(b, key=lambda s: (catalog.generation.get(s, 0), s)):
+            return [Share(self.root)]
+        catalog, shares = Catalog(self.root), []
+        for s in sorted(b):
             x, y = a.get(s, [0, False]), b[s]
             if y[0] > x[0] or (y[1] and not x[1]):
-                shares.setdefault(catalog.component.get(s, s), []).append((s, catalog.generation.get(s, 0), x[0], max(x[0], y[0]), bool(y[1] and not x[1])))
-        return [Share(c, self.root, parts) for c, parts in sorted(shares.items())] or [Share("", self.root, [])]
+                shares.append(Share(self.root, catalog.component.get(s, s), s, catalog.generation.get(s, 0), x[0], max(x[0], y[0]), bool(y[1] and not x[1])))
+        return shares or [Share(self.root)]
 
     def read(self, partition: Share) -> Iterator[tuple]:
         return read_share(partition)
@@ -192,19 +237,16 @@ class ShardLogReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        catalog, shares = Catalog(self.root), {}
-        for s in sorted(catalog.parents, key=lambda s: (catalog.generation[s], s)):
-            if self.only is None or s == self.only:
-                size = catalog.size(s)
-                shares.setdefault(catalog.component[s], []).append((s, catalog.generation[s], 0, catalog.whole(s, 0, size), s in catalog.ended))
-        return [Share(c, self.root, parts) for c, parts in sorted(shares.items())] or [Share("", self.root, [])]
+        catalog = Catalog(self.root)
+        wanted = [s for s in sorted(catalog.parents) if self.only is None or s == self.only]
+        return [Share(self.root, catalog.component[s], s, catalog.generation[s], 0, catalog.whole(s, 0, catalog.size(s)), s in catalog.ended) for s in wanted] or [Share(self.root)]
 
     def read(self, partition: Share) -> Iterator[tuple]:
         return read_share(partition)
 
 
 class ShardLog(DataSource):
-    """Format ``shardlog``. Options: path, initialPosition, maxBytesPerShard."""
+    """Format ``shardlog``. Options: path, initialPosition, maxBytesPerShard and, for shards read at a time, maxShards."""
 
     @classmethod
     def name(cls) -> str:
@@ -227,7 +269,7 @@ class ShardLog(DataSource):
         if position is None:
             raise ValueError(f"option initialPosition: {given!r}")
         most = int(self.options.get("maxBytesPerShard", 0)) or None
-        return ShardLogStreamReader(self._root(), position, most)
+        return ShardLogStreamReader(self._root(), position, most, int(self.options.get("maxShards", 0)) or None)
 
 
 def register(spark: SparkSession) -> None:
@@ -237,22 +279,31 @@ def register(spark: SparkSession) -> None:
 
 
 def write_log(records: DataFrame, shards: DataFrame, path: str) -> None:
-    """Append records (shard_id, seq, data) and list shards (id, parents, ended) in a log. Each shard is written by one task, in order."""
-    root = Path(path.removeprefix("file://"))
-    (root / "records").mkdir(parents=True, exist_ok=True)
+    """Append records (shard_id, seq, data) and list shards (id, parents, ended) in a log.
+
+    Each shard is written by one task, in order: what it held when the job began and the new lines, as a file that takes
+    the old one's place. A task that runs again writes the same.
+    """
+    folder = Folder(path)
+    held = {i.base_name: i.size for i in folder.fs.get_file_info(pafs.FileSelector(folder.path("records"), allow_not_found=True)) if i.base_name.endswith(".jsonl")}
 
     def write(rows: Iterator) -> None:
-        now, f = None, None
+        into, attempt, now, lines = Folder(path), f"attempt-{TaskContext.get().taskAttemptId()}", None, []
+
+        def flush() -> None:
+            if now is not None:
+                name = records_file(now)
+                old = into.read(name, 0, held.get(name.removeprefix("records/"), 0))
+                into.replace(name, iter([old, *lines]), attempt)
+
         for r in rows:
             if r["shard_id"] != now:
-                if f:
-                    f.close()
-                now, f = r["shard_id"], (root / "records" / f"{quote(r['shard_id'], safe='')}.jsonl").open("a")
-            f.write(json.dumps({"seq": r["seq"], "data": r["data"]}) + "\n")
-        if f:
-            f.close()
+                flush()
+                now, lines = r["shard_id"], []
+            lines.append((json.dumps({"seq": r["seq"], "data": r["data"]}) + "\n").encode())
+        flush()
 
     records.select("shard_id", "seq", F.col("data").cast("string").alias("data")).repartition("shard_id").sortWithinPartitions("shard_id", F.length("seq"), "seq").foreachPartition(write)
-    with (root / "catalog.jsonl").open("a") as f:
-        for r in shards.select("id", "parents", "ended").orderBy("id").toLocalIterator():
-            f.write(json.dumps({"shard_id": r["id"], "parents": r["parents"], "ended": r["ended"]}) + "\n")
+    listed = folder.read("catalog.jsonl", 0, folder.size("catalog.jsonl"))
+    rows = ((json.dumps({"shard_id": r["id"], "parents": r["parents"], "ended": r["ended"]}) + "\n").encode() for r in shards.select("id", "parents", "ended").orderBy("id").toLocalIterator())
+    folder.replace("catalog.jsonl", iter([listed, *rows]), "new")
