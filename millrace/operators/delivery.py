@@ -139,6 +139,38 @@ def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[kind]
 
 
+class Deferral:
+    """When acknowledgements of shards are written: at once without an interval, else the last one of each interval.
+
+    A shard's first acknowledgement starts its clock; one that comes at least an interval after the clock is written
+    and restarts it. What is pending is flushed at a shard's end and when its lease is given up.
+    """
+
+    def __init__(self, interval_ms: int) -> None:
+        self.interval_ms = interval_ms
+        self.clock: dict[str, int] = {}
+        self.pending: dict[str, str] = {}
+
+    def acknowledge(self, shard: str, seq: str, at_ms: int) -> str | None:
+        """What is to be written now."""
+        started = self.clock.setdefault(shard, at_ms)
+        if self.interval_ms <= 0 or at_ms - started >= self.interval_ms:
+            self.clock[shard] = at_ms
+            self.pending.pop(shard, None)
+            return seq
+        self.pending[shard] = seq
+        return None
+
+    def flush(self, shard: str) -> str | None:
+        """What is still to be written of a shard."""
+        return self.pending.pop(shard, None)
+
+    def drop(self, shard: str) -> None:
+        """Forget a shard that is another worker's."""
+        self.pending.pop(shard, None)
+        self.clock.pop(shard, None)
+
+
 def deferred_writes(acks: DataFrame, interval_ms: int) -> DataFrame:
     """(shard_id, at_ms, seq, forced): checkpoints that are written when acknowledgements (shard_id, at_ms, seq) are deferred.
 
@@ -147,18 +179,13 @@ def deferred_writes(acks: DataFrame, interval_ms: int) -> DataFrame:
     """
 
     def start() -> Callable[[dict | None], dict | None]:
-        state: dict = {"clock": None, "pending": None}
+        deferral, last = Deferral(interval_ms), {}
 
         def step(row: dict | None) -> dict | None:
             if row is None:
-                return state["pending"] and state["pending"] | {"forced": True}
-            if state["clock"] is None:
-                state["clock"] = row["at_ms"]
-            if interval_ms <= 0 or row["at_ms"] - state["clock"] >= interval_ms:
-                state["clock"], state["pending"] = row["at_ms"], None
-                return row | {"forced": False}
-            state["pending"] = row
-            return None
+                return last | {"forced": True} if deferral.flush(last["shard_id"]) is not None else None
+            last.update(row)
+            return row | {"forced": False} if deferral.acknowledge(row["shard_id"], row["seq"], row["at_ms"]) is not None else None
 
         return step
 

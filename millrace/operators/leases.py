@@ -194,23 +194,33 @@ class LeaseStore:
 
     def __init__(self, path: str = ":memory:") -> None:
         import sqlite3
+        import threading
 
-        self.db = sqlite3.connect(path, isolation_level=None)
+        # A streaming query's batches run in a thread of their own.
+        self.db = sqlite3.connect(path, isolation_level=None, check_same_thread=False)
+        self.lock = threading.RLock()
         self.db.execute("CREATE TABLE IF NOT EXISTS leases (lease_key TEXT PRIMARY KEY, owner TEXT, counter INTEGER NOT NULL DEFAULT 0, checkpoint TEXT, completed INTEGER NOT NULL DEFAULT 0, parents TEXT NOT NULL DEFAULT '[]')")
 
     def get(self, key: str) -> Row | None:
-        got = self.db.execute("SELECT owner, counter, checkpoint, completed FROM leases WHERE lease_key = ?", (key,)).fetchone()
+        with self.lock:
+            got = self.db.execute("SELECT owner, counter, checkpoint, completed FROM leases WHERE lease_key = ?", (key,)).fetchone()
         return Row(got[0], got[1], got[2], bool(got[3])) if got else None
 
     def rows(self) -> Iterator[tuple]:
         """All leases as the columns of the lease table, parents as a list."""
         import json
 
-        for key, owner, counter, checkpoint, completed, parents in self.db.execute("SELECT * FROM leases ORDER BY lease_key"):
+        with self.lock:
+            found = self.db.execute("SELECT * FROM leases ORDER BY lease_key").fetchall()
+        for key, owner, counter, checkpoint, completed, parents in found:
             yield key, owner, counter, checkpoint, bool(completed), json.loads(parents)
 
     def run(self, key: str, op: str, owner: str | None = None, counter: int | None = None, seq: str | None = None, parents: list[str] | None = None) -> tuple[Row | None, bool]:
         """Apply one operation under its guard."""
+        with self.lock:
+            return self._run(key, op, owner, counter, seq, parents)
+
+    def _run(self, key: str, op: str, owner: str | None, counter: int | None, seq: str | None, parents: list[str] | None) -> tuple[Row | None, bool]:
         import json
 
         self.db.execute("BEGIN IMMEDIATE")
@@ -233,5 +243,3 @@ class LeaseStore:
         from millrace.schema import LEASE
 
         return spark.createDataFrame(list(self.rows()), LEASE)
-
-
