@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._store import discard, shuffled, written
 
@@ -73,15 +74,6 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("of"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")]
 
 
-def _reach(min_words: int, step: str, inside: str, full: str) -> str:
-    """SQL: lines from ``i`` on, forwards or backwards, until their words reach ``min_words``; ``full`` where the text ends before."""
-    test = full
-    for n in range(min_words, 0, -1):
-        total = " + ".join(f"get(w, i {step} {k})" for k in range(n))
-        test = f"IF({total} >= {min_words}, {n}, IF({inside.format(n=n)}, {full}, {test}))"
-    return test
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(of, crc, h, k, w, prints) of each row: hash and words, up to ``min_words``, by line, a second hash of lines that reach them; the fingerprints as (fp, a), a being the line."""
     rows = docs.select(*row_key(id_col, text_col), _odd(F.coalesce(F.col(text_col), F.lit(""))).alias("odd"), F.transform(lines_of(F.col(text_col)), _key).alias("keys"))
@@ -90,7 +82,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     # Of two neighbours of one hash both are as good; the lone line of a text is a fingerprint if it is long enough.
     picked = F.expr(f"filter(transform(h, (x, i) -> IF(x <= get(h, i + 1) OR x < get(h, i - 1) OR get(w, i) >= {min_words}, struct(x AS fp, i AS a), NULL)), p -> p IS NOT NULL)")
     second = F.transform("w", lambda n, i: F.when(n >= min_words, F.xxhash64(F.lit(1), F.get("keys", i))).otherwise(F.lit(0).cast("long")))
-    return rows.select("of", "crc", "h", second.alias("k"), F.col("w").cast("array<tinyint>").alias("w"), picked.alias("prints"))
+    return rows.select("of", "crc", "h", second.alias("k"), "w", picked.alias("prints"))
+
+
+def _turned(x: Column, by: Column) -> Column:
+    """The bits of a long turned to the left; only the six low bits of ``by`` count."""
+    n = by.bitwiseAND(F.lit(63))
+    return F.call_function("shiftleft", x, n).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64) - n))
 
 
 def _several(table: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
@@ -110,21 +108,29 @@ def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     shared = written(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "prints")
     near = _several(prints, shared, ["fp"])
     around = near.groupBy("of", "crc").agg(F.collect_set("a").alias("around"))
-    met = lines.select("of", "crc", "h", "k", F.col("w").cast("array<int>").alias("w")).join(shuffled(around), ["of", "crc"])
-    # Lines from which a smallest run can hold a fingerprint's position: fewer words than asked for stand before it.
-    back = _reach(min_words, "-", "i < {n}", "i + 1")
-    starts = F.expr(f"array_distinct(flatten(transform(around, i -> sequence(i + 1 - least(i + 1, 1 + IF(i = 0, 0, {back.replace('get(w, i - ', 'get(w, i - 1 - ')})), i))))")
-    met = met.select("of", "crc", "h", "k", "w", starts.alias("starts"))
-    # From each such line, and the one after it, how many lines reach the words; no run begins or ends without a word.
-    ahead = _reach(min_words, "+", "i + {n} >= size(w)", "NULL")
-    sizes = F.expr(f"transform(starts, i -> named_struct('s', i, 'j', {ahead}, 'j1', {ahead.replace('(w, i + ', '(w, i + 1 + ').replace('IF(i + ', 'IF(1 + i + ')}))")
-    last = F.expr("size(w) - IF(get(w, size(w) - 1) = 0, 2, 1)")
-    met = met.select("of", "crc", "h", "k", last.alias("last"), F.filter(sizes, lambda r: r["j"].isNotNull()).alias("sizes"), "w")
-    # The smallest run from the line, and the longer ones that begin there as late as they can.
-    ends = "sequence(r.s + r.j - 1, greatest(r.s + r.j - 1, coalesce(r.s + r.j1 - 1, last)))"
-    # Two hashes of a run's line hashes; where the run is one line, of the line itself.
-    window = "struct(xxhash64(slice(h, r.s + 1, t - r.s + 1)) AS h, xxhash64(1, IF(t = r.s, get(k, t), 0), slice(h, r.s + 1, t - r.s + 1)) AS k, r.s AS a, t AS z)"
-    windows = met.select("of", "crc", F.expr(f"explode(flatten(transform(filter(sizes, r -> get(w, r.s) > 0), r -> transform({ends}, t -> {window}))))").alias("p"))
+    # Rows that agree in id and text are one text.
+    met = lines.select("of", "crc", "h", "k", "w").join(shuffled(around), ["of", "crc"]).dropDuplicates(["of", "crc"])
+    # A row per line with a word; before a line with such a fingerprint stands a mark without words.
+    marks = "transform(around, a -> named_struct('i', a, 'line', 0, 'w', 0, 'h', CAST(NULL AS BIGINT), 'k', CAST(NULL AS BIGINT)))"
+    worded = "filter(transform(w, (n, i) -> named_struct('i', i, 'line', 1, 'w', n, 'h', get(h, i), 'k', get(k, i))), r -> r.w > 0)"
+    rows = met.select("of", "crc", F.expr(f"explode(concat({marks}, {worded}))").alias("p")).select("of", "crc", "p.*")
+    of_row = Window.partitionBy("of", "crc")
+    rows = rows.withColumn("c", F.coalesce(F.sum("w").over(of_row.orderBy("i", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # A run's hash is the exclusive or of its lines' hashes, each turned by its place, and turned back by the first one's:
+    # it tells places apart and is an aggregate of fixed size. Runs have fewer lines than the hash has bits.
+    rows = rows.withColumn("x", _turned(F.col("h"), F.col("i"))).withColumn("y", _turned(F.xxhash64(F.lit(1), F.col("h")), F.col("i"))).withColumn("y", F.when(F.col("line") == 1, F.col("y")))
+    # The smallest run from a line: lines that begin less than the words asked for after it does.
+    ahead = of_row.orderBy("c").rangeBetween(0, min_words - 1)
+    rows = rows.select(*rows.columns, F.bit_xor("x").over(ahead).alias("x1"), F.bit_xor("y").over(ahead).alias("y1"), F.max("i").over(ahead).alias("z"), F.sum("w").over(ahead).alias("n"), F.min("line").over(ahead).alias("unmarked")).where("line = 1")
+    # The smallest run up to a line: lines that end less than that before it does. It holds the smallest run from its first line.
+    rows = rows.withColumn("d", F.col("c") + F.col("w"))
+    back = of_row.orderBy("d").rangeBetween(1 - min_words, 0)
+    rows = rows.select(*rows.columns, F.bit_xor("x").over(back).alias("x2"), F.bit_xor("y").over(back).alias("y2"), F.min("i").over(back).alias("a2"), F.sum("w").over(back).alias("n2"), F.first("unmarked").over(back).alias("unmarked2"))
+    # Where the run is one line, its second hash is the line's.
+    run = lambda x, y, a, z: F.struct(_turned(F.col(x), -F.col(a)).alias("h"), F.when(F.col(a) == F.col(z), F.col("k")).otherwise(_turned(F.col(y), -F.col(a))).alias("k"), F.col(a).alias("a"), F.col(z).alias("z"))
+    first_run = F.when((F.col("n") >= min_words) & (F.col("unmarked") == 0), run("x1", "y1", "i", "z"))
+    last_run = F.when((F.col("n2") - F.col("w") >= min_words) & (F.col("unmarked2") == 0), run("x2", "y2", "a2", "i"))
+    windows = rows.select("of", "crc", F.explode(F.filter(F.array(first_run, last_run), lambda r: r.isNotNull())).alias("p"))
     windows = written(windows.select("of", "crc", "p.*"), "windows")
     first = windows.groupBy("h", "k").agg(F.min(F.struct("of", "crc", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = written(first, "first")
@@ -140,14 +146,6 @@ def _runs(lines: DataFrame, min_words: int) -> DataFrame:
     return found
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that are to go; runs of a row do not touch."""
-    lines = written(_lines(docs, id_col, text_col, min_words), "lines")
-    found = _runs(lines, min_words)
-    discard(lines)
-    return found
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(row, n_lines, n_removed, n_runs, kept) for each row of ``docs``; ``row`` holds its columns, whatever their names.
 
@@ -156,6 +154,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     earlier, and rows that agree in both are one text and judged alike. A null text has no run and stays null; texts of
     any length are cut whole; an empty table gives an empty result. Two hashes of 64 bits stand for a run's lines.
     """
+    if not 0 < min_words < 64:
+        raise ValueError("min_words must be from 1 to 63: a run's lines are told apart by so many places")
     lines = written(_lines(docs, id_col, text_col, min_words), "lines")
     sizes = lines.select("of", "crc", F.size("h").alias("n")).distinct()
     found = written(sizes.join(shuffled(_runs(lines, min_words)), ["of", "crc"], "left"), "found")

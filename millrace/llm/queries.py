@@ -98,5 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB's equivalents, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op2_linededup": sql.OP2,
+    "op3_suffixdedup": sql.OP3,
+    "op6_covertree": sql.OP6,
     "op7_decontam": sql.OP7,
 }

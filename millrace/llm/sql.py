@@ -59,3 +59,36 @@ WITH {lines("documents")}
 SELECT k.doc_id, k.n_lines, k.n_removed, (SELECT count(*) FROM line_runs r WHERE r.doc_id = k.doc_id) AS n_runs, md5(k.kept) AS kept_md5
 FROM line_kept k
 """
+
+
+#: Every byte covered by a string of 100 bytes that starts earlier too; bytes as two hexadecimal digits. For distinct, non-null ids.
+OP3 = """
+WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM bytes),
+windows AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS i FROM sized)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM later),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, span, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY span), 0) AS since FROM spans),
+kept AS (
+  SELECT s.doc_id, any_value(s.n) AS n, coalesce(sum(g.z - g.a), 0) AS gone, count(g.a) AS spans,
+    coalesce(string_agg(substring(s.h, 2 * g.since + 1, 2 * (g.a - g.since)), '' ORDER BY g.span), '') || substring(any_value(s.h), 2 * coalesce(max(g.z), 0) + 1) AS h
+  FROM sized s LEFT JOIN gaps g ON g.doc_id = s.doc_id GROUP BY s.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM kept
+"""
+
+#: Links by cosine in double precision, components by the ids that links reach.
+OP6 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
