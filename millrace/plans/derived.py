@@ -76,14 +76,15 @@ first_seen AS (SELECT shard_id, parent_shard_id, ending_sequence_number, page, p
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lineage graph with, for each pair of roots, a shard merged from their last generations.
 
-    Kept in memory: operators read it several times, and a catalogue is small beside the log that it is derived from.
+    Written once: operators read it several times, and a catalogue is small beside the log that it is derived from.
     """
     from millrace.operators.lineage import shard_graph
+    from millrace.session import written
 
     nodes = change_log(spark, sf_dir).groupBy(F.col("root").cast("int").alias("root")).agg(F.max("gen").alias("gen"))
     name = F.concat(F.lit("shard-"), F.col("root").cast("string"), F.lit("-g"), F.col("gen").cast("string"))
     merged = nodes.groupBy(F.expr("root div 2").alias("pair")).agg(F.sort_array(F.collect_list(name)).alias("parents")).select(F.concat(F.lit("shard-m"), F.col("pair").cast("string")).alias("id"), "parents")
-    return shard_graph(raw_shards(spark, sf_dir)).unionByName(merged).cache()
+    return written(shard_graph(raw_shards(spark, sf_dir)).unionByName(merged), "shards")
 
 
 SHARDS = (
