@@ -51,5 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def filtered(rows: DataFrame, keep) -> DataFrame:
+    """The rows that an Arrow function leaves, under names that it need not know: dots in a name are no matter."""
+    plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*rows.columns)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import filtered
+
 #: Words of a shingle and the share of an item's distinct shingles that makes a document contaminated.
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -275,6 +277,6 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                 found = _matches(shared.value, [(i, t.as_py()) for i, t in enumerate(batch.column(at))], shingler)
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
 
-        return rest.mapInArrow(run, rest.schema)
+        return filtered(rest, run)
 
     return reduce(passed, _indexes(items, item_col, item_text, shingle, threshold, block), docs)

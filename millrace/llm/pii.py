@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import shuffled, written
+from ._store import discard, shuffled, written
 from .linededup import row_key
 
 OPEN, CLOSE = "\x01", "\x02"
@@ -130,7 +130,7 @@ def patterns(instances: DataFrame, bare: DataFrame, rounds: int = ROUNDS, confid
     shapes = edges.groupBy(*key, "shape").agg(F.count("*").alias("n"))
     total = edges.groupBy(*key).agg(F.count("*").alias("values")).join(shuffled(bare.select("cue", F.col("n").alias("bare"))), "cue", "left")
     seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("sure", F.lit(1.0))
-    scored, found = seeds, None
+    scored, found, spent = seeds, None, [edges]
     for k in range(rounds):
         known = edges.join(scored, "value").groupBy(*key, "kind", "shape").agg(F.sum("sure").alias("mass"), F.count("*").alias("held"), F.approx_count_distinct("text", 0.02).alias("texts"))
         alike = known.join(shuffled(shapes), [*key, "shape"])
@@ -141,6 +141,8 @@ def patterns(instances: DataFrame, bare: DataFrame, rounds: int = ROUNDS, confid
         if k + 1 < rounds:
             new = edges.join(found, key).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("sure"))
             scored = written(seeds.unionByName(new.join(seeds, ["value", "kind"], "left_anti")), "instances")
+            spent += [scored, found]
+    discard(*spent)
     return found
 
 

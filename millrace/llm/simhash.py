@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import shuffle_width, shuffled, written
+from ._store import discard, shuffle_width, shuffled, written
 
 #: Fingerprints for each leaf from which vantage points are chosen, 8 bytes each: what the driver holds is a
 #: five-hundredth of what the leaves hold, and a leaf's size stays the same, however many there are.
@@ -249,4 +249,6 @@ def _classes(marked: DataFrame, radius: int) -> DataFrame:
     named = distinct.select("fp", "least")
     by_id = found.join(shuffled(named.withColumnsRenamed({"fp": "a", "least": "u"})), "a").join(shuffled(named.withColumnsRenamed({"fp": "b", "least": "v"})), "b")
     comp = components(by_id.select("u", "v"))
-    return written(named.join(shuffled(comp), named["least"] == comp["id"], "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    classes = written(named.join(shuffled(comp), named["least"] == comp["id"], "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    discard(distinct)
+    return classes

@@ -39,10 +39,9 @@ CHUNK = 1 << 21
 SAMPLE = 2000
 FREQUENT = 0.005
 SLOT = 24
-#: Bytes of text for each partition of the shuffle, buckets for each partition, bytes of contexts that are gathered
-#: before they are compressed. Contexts take about three times the bytes of their text.
-SHARE = 1 << 22
-SPREAD = 16
+#: Bytes of text for each bucket, which is a partition of the shuffle, and bytes of contexts that are gathered before they
+#: are compressed. Contexts take about three times the bytes of their text.
+SHARE = 1 << 24
 GATHER = 1 << 26
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -356,8 +355,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
     frequent = spark.sparkContext.broadcast(frequent_grams(docs, id_col, text_col, gram, held["n"]))
     # What a task reads and what a bucket holds in memory stay the same, however large the input.
-    width = max(shuffle_width(spark), -(-held["bytes"] // SHARE))
-    buckets = SPREAD * width
+    buckets = max(shuffle_width(spark), -(-held["bytes"] // SHARE))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, blobs = Anchors(length, gram, frequent.value), Blobs()
@@ -392,7 +390,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["id", "version", "start", "stop"])
 
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(deal, "bucket long, blob binary")
-    met = dealt.repartition(width, "bucket").sortWithinPartitions("bucket")
+    met = dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return met.mapInArrow(sort, "id long, version long, start long, stop long")
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import filtered
 from .langid import fold_table
 
 #: Labelled rows that are read for training, at most, chosen by a hash of their key.
@@ -345,7 +346,7 @@ def clean(docs: DataFrame, model: Model | None, text_col: str = "text", limit: f
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, words, batch.column(at)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def _features_of(words: Words, letters: np.ndarray) -> np.ndarray:
