@@ -40,8 +40,8 @@ RULES = {
 #: What a text must hold for a rule to be tried.
 GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Seeds of one more kind, ``secret``: shapes of keys that services hand out, and hexadecimal strings of the length of a
-#: digest in which each of the sixteen digits occurs, which hardly a number or a code does. Other keys are for the patterns.
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|" + "".join(f"(?=[0-9a-f]*?{d})" for d in "0123456789abcdef") + r"[0-9a-f]{32,64})(?![A-Za-z0-9])"
+#: digest in which each decimal digit and a letter occur, which hardly a number or a code does. Other keys are for the patterns.
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|" + "".join(f"(?=[0-9a-f]*?{d})" for d in "0123456789") + r"(?=[0-9]*[a-f])[0-9a-f]{32,64})(?![A-Za-z0-9])"
 #: A cue (a word and an assignment sign, or a word) and an instance: a token of six or more characters with a digit.
 WORD = r"(?<![\p{L}0-9_])[\p{L}_]++"
 SIGN = r"""\x20?[=:#]\x20?["']?"""

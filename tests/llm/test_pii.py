@@ -55,10 +55,10 @@ def test_base_matches_plain_rules(docs_of, seed):
 
 
 def key(r, n=40, whole=True):
-    """A random hexadecimal key in which each digit occurs, or in which one is missing."""
+    """A random hexadecimal key in which each decimal digit and a letter occur, or one that is no seed."""
     while True:
         k = "".join(r.choice("0123456789abcdef") for _ in range(n))
-        if (len(set(k)) == 16) == whole:
+        if (len(set(k) & set("0123456789")) == 10 and not k.isdigit()) == whole:
             return k
 
 
