@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import filtered
+from ._store import filtered, trim
 
 #: Words of a shingle and the share of an item's distinct shingles that makes a document contaminated.
 SHINGLE = 5
@@ -31,7 +31,7 @@ THRESHOLD = 0.8
 BLOCK = 1 << 24
 #: Bytes of documents that are searched at a time.
 CHUNK = 1 << 21
-SLOT = 22
+SLOT = 20
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -258,6 +258,7 @@ def contaminated(
                     i, item, part, total, n = zip(*got, strict=True)
                     arrays = [batch.column(0).take(pa.array(i)), pa.array(item, pa.int64()), pa.array(part, pa.int32()), pa.array(total, pa.int64()), pa.array(n, pa.int64()), pa.array([a / b for a, b in zip(n, total, strict=True)])]
                     yield pa.RecordBatch.from_arrays(arrays, names=["id", "item", "partition", "n_shingles", "n_shared", "containment"])
+            trim()
 
         return rows.mapInArrow(run, "id long, item long, partition int, n_shingles long, n_shared long, containment double")
 
@@ -276,6 +277,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
             for batch in batches:
                 found = _matches(shared.value, [(i, t.as_py()) for i, t in enumerate(batch.column(at))], shingler)
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+            trim()
 
         return filtered(rest, run)
 

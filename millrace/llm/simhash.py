@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import discard, shuffle_width, shuffled, written
+from ._store import discard, shuffle_width, shuffled, trim, written
 
 #: Fingerprints for each leaf from which vantage points are chosen, 8 bytes each: what the driver holds is a
 #: five-hundredth of what the leaves hold, and a leaf's size stays the same, however many there are.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["id", "fp", "mark"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _mark(text_col)).mapInArrow(run, "id long, fp long, mark long")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import filtered
+from ._store import filtered, trim
 from .langid import fold_table
 
 #: Labelled rows that are read for training, at most, chosen by a hash of their key.
@@ -35,8 +35,8 @@ EPOCHS = 8
 BATCH = 128
 #: Every so many training rows, one is kept for calibration.
 CALIBRATE = 5
-#: Letters that are scored at a time.
-CHUNK = 1 << 20
+#: Letters that are scored at a time, and words that a step of training holds at a time.
+CHUNK = 1 << 18
 PROFILE = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.float32(-1e9)
@@ -157,9 +157,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             ids = order[at : at + BATCH]
-            x = np.concatenate([texts[i] for i in ids])
-            bounds = np.concatenate(([0], np.cumsum([len(texts[i]) for i in ids])))
-            grads = _gradients(model, x, bounds, labels[ids], pos[ids], float(params[-1][0]))
+            # Long texts make a batch several parts, whose gradients add up to the batch's.
+            words = np.cumsum([len(texts[i]) for i in ids])
+            grads = None
+            for part in np.split(ids, np.flatnonzero(np.diff(words // (CHUNK // 8))) + 1):
+                x = np.concatenate([texts[i] for i in part])
+                bounds = np.concatenate(([0], np.cumsum([len(texts[i]) for i in part])))
+                share = np.float32(len(part) / len(ids))
+                got = [g * share for g in _gradients(model, x, bounds, labels[part], pos[part], float(params[-1][0]))]
+                grads = got if grads is None else [a + b for a, b in zip(grads, got, strict=True)]
             t += 1
             step = 0.02 * min(1.0, 2 * (1 - epoch / EPOCHS))
             for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -272,6 +278,7 @@ def _prepared(taken: DataFrame) -> DataFrame:
                 features.append(_features_of(words, letters).astype("<u2").tobytes())
                 profiles.append(profile(letters).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), pa.array(profiles, pa.binary()), batch.column(1), batch.column(2)], names=["features", "profile", "y", "lang"])
+        trim()
 
     return taken.mapInArrow(run, "features binary, profile binary, y double, lang string")
 
@@ -333,6 +340,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         words = Words()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, words, batch.column(1)))], names=["id", "score"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
@@ -345,6 +353,7 @@ def clean(docs: DataFrame, model: Model | None, text_col: str = "text", limit: f
         words = Words()
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, words, batch.column(at)) < limit))
+        trim()
 
     return filtered(docs, run)
 
