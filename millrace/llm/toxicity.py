@@ -8,6 +8,7 @@ language that a text's letters suggest, then moved to 0.5.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -267,7 +268,7 @@ def scores_of(model: Model, features: list[np.ndarray]) -> np.ndarray:
 
 
 def _prepared(taken: DataFrame) -> DataFrame:
-    """(features, profile, y, lang): what training needs of each whole text, made where the text is; 8 bytes a word."""
+    """(features, profile, y, lang): what training needs of each whole text, made where the text is; 8 bytes a word, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -275,7 +276,8 @@ def _prepared(taken: DataFrame) -> DataFrame:
             features, profiles = [], []
             for text in batch.column(0):
                 letters = words.letters(text.as_py())
-                features.append(_features_of(words, letters).astype("<u2").tobytes())
+                made = _features_of(words, letters).astype("<u2").tobytes()
+                features.append(zlib.compress(made, 1) if made else b"")
                 profiles.append(profile(letters).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), pa.array(profiles, pa.binary()), batch.column(1), batch.column(2)], names=["features", "profile", "y", "lang"])
         trim()
@@ -291,12 +293,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", l
     """
     taken = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"), F.col(lang_col).cast("string").alias("lang"))
     got = _prepared(taken.where("text is not null and y is not null").limit(rows)).collect()
-    keep = sorted((r for r in got if r["features"]), key=lambda r: (bytes(r["features"]), r["y"], r["lang"] or ""))
-    y = np.array([float(r["y"] > 0) for r in keep])
+    keep = sorted(((zlib.decompress(r["features"]), r["y"], r["lang"] or "", r["lang"], bytes(r["profile"])) for r in got if r["features"]), key=lambda r: r[:3])
+    y = np.array([float(r[1] > 0) for r in keep])
     if not len(y) or y.min() == y.max():
         return None
-    features = [np.frombuffer(r["features"], "<u2").reshape(-1, len(PREFIXES) + 1) for r in keep]
-    profiles, langs = np.array([np.frombuffer(r["profile"], "<f4") for r in keep], float), [r["lang"] for r in keep]
+    features = [np.frombuffer(r[0], "<u2").reshape(-1, len(PREFIXES) + 1) for r in keep]
+    profiles, langs = np.array([np.frombuffer(r[4], "<f4") for r in keep], float), [r[3] for r in keep]
     order = np.random.default_rng(1).permutation(len(y))
     held = np.zeros(len(y), bool)
     held[order[::CALIBRATE]] = True
@@ -308,6 +310,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", l
         model.profiles = np.array([profiles[[x == k for x in langs]].mean(axis=0) for k in model.languages])
         model.profiles /= np.linalg.norm(model.profiles, axis=1, keepdims=True)
     calibrated(model, features if not held.any() else [x for x, h in zip(features, held, strict=True) if h], profiles[held] if held.any() else profiles, y[held] if held.any() else y)
+    del got, keep, features
+    trim()
     return model
 
 
