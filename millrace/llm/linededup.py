@@ -1,4 +1,4 @@
-"""Line deduplication by winnowing, in DataFrame functions only.
+"""Line deduplication by smallest repeated runs, in DataFrame functions only.
 
 A text's lines end at line breaks and after sentences, blanks behind them
 included. What is deleted is defined without any hash: a line goes if it lies in
@@ -7,13 +7,11 @@ earlier row or further up in the same one, word for word but for blanks at the
 ends of lines. Each such run is judged for itself; runs that only touch never
 add up.
 
-Lines are hashed. Of each two neighbouring lines the smaller hash is a
-fingerprint, and so is each line that reaches ``min_words`` by itself. A run of
-so many words is such a line or has two lines: texts that share a run share a
-fingerprint, whatever stands around it. Positions of fingerprints that occur
-more than once are extended both ways, to all smallest runs of ``min_words``
-words that hold them, and each of those is compared with all earlier positions
-by its first one. Their union is all of a repeated run.
+A pattern takes from each line of a text the smallest run of so many words that
+begins there. With them go the runs that are smallest seen from their last line:
+such a run is a line and the beginning of the smallest run from the next one.
+Each of both kinds is compared with all earlier positions by the first position
+of its hash, in one shuffle. Their union is all of a repeated run.
 """
 
 from __future__ import annotations
@@ -26,13 +24,17 @@ from ._store import discard, shuffled, written
 
 #: Words of a repeated run that is deleted.
 MIN_WORDS = 20
-#: Values with more than this part of all positions are frequent; there cannot be more of them than this.
-SHARE = 2000
+#: Values with more than this part of all positions are frequent; there cannot be more of them than this. Each is dealt in so many parts.
+SHARE, PARTS = 2000, 256
 #: What ends a line: a line break or a sentence's end, with the blanks that follow.
 ENDS = ("\n", ". ", "! ", "? ")
 END = r"(?:\n|[.!?] )[ \t\r\n]*"
+#: All blanks at a line's end, with those in front of a line break.
+BLANKS_AT_END = r"(?=[ \t\r\n])(?<![ \t\r\n])(?:(?<=[.!?]) |[ \t\r]*+\n)[ \t\r\n]*+"
 CUT = "\x01"
 BLANK = " \t\r\n"
+#: A word of the lines that ``keys_of`` joins, and what stands between two.
+WORD, GAP = r"[^ \t\r\x01]++", r"[ \t\r\x01]++"
 NO_ID = -(2**63)
 
 
@@ -55,10 +57,6 @@ def _all_or(tests: list[Column]) -> Column:
     return out
 
 
-def _key(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANK))
-
-
 def _words(key: Column, odd: Column | None = None) -> Column:
     """Words of a key. Only where there are other blanks than spaces, or several together, is a pattern needed; ``odd`` says so for a whole text."""
     spaces = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(" "), F.lit("")))
@@ -69,80 +67,87 @@ def _odd(text: Column) -> Column:
     return _all_or([F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r")])
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Rows in their order: by id (null first), then by the text's CRC-32, which tells rows with one id apart."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("of"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")]
-
+def keys_of(text: Column) -> Column:
+    """The lines of a text without the blanks at their ends, joined by the cut character. Only a text's first and last line can be empty."""
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(CUT), F.lit(" "))
+    quick = plain
+    for end in ENDS:
+        quick = F.replace(quick, F.lit(end), F.lit(end.rstrip(BLANK) + CUT))
+    # Only where several blanks stand at a line's end does it have to be found by the pattern.
+    odd = lambda m: _all_or([F.contains(m, F.lit(x)) for b in (" ", "\t", "\r", CUT) for x in dict.fromkeys((b + CUT, CUT + b))])
+    marked = F.transform(F.array(quick), lambda m: F.btrim(F.when(odd(m), F.regexp_replace(plain, BLANKS_AT_END, CUT)).otherwise(m), F.lit(BLANK)))
+    return F.get(marked, F.lit(0))
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(of, crc, h, k, w, prints) of each row: hash and words, up to ``min_words``, by line, a second hash of lines that reach them; the fingerprints as (fp, a), a being the line."""
-    rows = docs.select(*row_key(id_col, text_col), _odd(F.coalesce(F.col(text_col), F.lit(""))).alias("odd"), F.transform(lines_of(F.col(text_col)), _key).alias("keys"))
-    words = F.transform("keys", lambda x: F.least(_words(x, F.col("odd")), F.lit(min_words)))
-    rows = rows.select("of", "crc", "keys", F.transform("keys", lambda x: F.xxhash64(x)).alias("h"), words.alias("w"))
-    # Of two neighbours of one hash both are as good; the lone line of a text is a fingerprint if it is long enough.
-    picked = F.expr(f"filter(transform(h, (x, i) -> IF(x <= get(h, i + 1) OR x < get(h, i - 1) OR get(w, i) >= {min_words}, struct(x AS fp, i AS a), NULL)), p -> p IS NOT NULL)")
-    second = F.transform("w", lambda n, i: F.when(n >= min_words, F.xxhash64(F.lit(1), F.get("keys", i))).otherwise(F.lit(0).cast("long")))
-    return rows.select("of", "crc", "h", second.alias("k"), "w", picked.alias("prints"))
 
+def _smallest(keys: Column, min_words: int) -> Column:
+    """The smallest run of so many words from each line on that has one. These lines stand together; the first one is the first line that is not empty."""
+    run = f"(?:{WORD}{GAP}){{{min_words - 1}}}+{WORD}[^{CUT}]*+"
+    return F.regexp_extract_all(F.concat(F.lit(CUT), keys), F.lit(f"{CUT}(?=({run}))"), F.lit(1))
 
-def _turned(x: Column, by: Column) -> Column:
-    """The bits of a long turned to the left; only the six low bits of ``by`` count."""
-    n = by.bitwiseAND(F.lit(63))
-    return F.call_function("shiftleft", x, n).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64) - n))
 
+def _cuts(keys: Column) -> Column:
+    return F.octet_length(keys) - F.octet_length(F.replace(keys, F.lit(CUT), F.lit("")))
 
-def _several(table: DataFrame, several: DataFrame, key: list[str]) -> DataFrame:
-    """``table`` joined with the values that occur several times (n counts them).
 
-    A value of a notable share of all rows would be one task's work: there are at most SHARE such, so these are
-    broadcast, and only the others are joined by a shuffle.
-    """
-    limit = max(1000, -(-several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // SHARE))
-    hot, cold = F.broadcast(several.where(F.col("n") > limit)), several.where(F.col("n") <= limit)
-    return table.join(hot.drop("n"), key).unionByName(table.join(hot.select(*key), key, "left_anti").join(shuffled(cold.drop("n")), key))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Rows in their order: by id (null first), then by the text's CRC-32, which tells rows with one id apart."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("of"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc")]
 
 
-def _runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(of, crc, found): the runs [a, z] of lines of a row, counted from 0, that stand earlier too; runs of a row do not touch."""
-    prints = lines.select("of", "crc", F.explode("prints").alias("p")).select("of", "crc", "p.*")
-    shared = written(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "prints")
-    near = _several(prints, shared, ["fp"])
-    around = near.groupBy("of", "crc").agg(F.collect_set("a").alias("around"))
+def _windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """(of, crc, span, h, k) from (of, crc, text): the runs of lines that are smallest seen from their first or last line, with two hashes; and for each row its number of lines as a negative span."""
+    keys, ends, runs = F.col("keys"), F.col("ends"), F.col("runs")
+    rows = rows.select("of", "crc", keys_of(F.col("text")).alias("keys"))
+    rows = rows.select("of", "crc", "keys", (_cuts(keys) + 1).alias("n"), F.startswith(keys, F.lit(CUT)).cast("int").alias("lead"), _smallest(keys, min_words).alias("runs"))
+    # What follows the last line that begins a run counts as the run from the next line, up to a line more than there is.
+    rest = F.rtrim(F.call_function("substring_index", keys, F.lit(CUT), F.col("lead") + F.size(runs) - F.col("n")), F.lit(CUT))
+    rows = rows.select("of", "crc", "n", "lead", "runs", rest.alias("rest"))
+    last = F.col("lead") + F.size(runs) + F.when(F.col("rest") == "", 0).otherwise(_cuts(F.col("rest")) + 1)
+    ends_of = F.concat(F.transform(runs, lambda run, i: F.col("lead") + i + _cuts(run)), F.array(last))
+    rows = rows.select("of", "crc", "n", "lead", "runs", F.concat(runs, F.array("rest")).alias("ahead"), ends_of.alias("ends"))
+    window = lambda a, z, run: F.struct((F.shiftleft(a.cast("long"), 32) + z).alias("span"), F.xxhash64(run).alias("h"), F.xxhash64(F.lit(1), run).alias("k"))
+    from_first = F.transform(runs, lambda run, i: window(F.col("lead") + i, F.get(ends, i), run))
+    # Where the runs from two neighbouring lines end more than a line apart, runs up to the lines between begin at the first one.
+    apart = F.filter(F.transform(runs, lambda run, i: F.when(F.get(ends, i + 1) - F.get(ends, i) > 1, i)), lambda i: i.isNotNull())
+    joined = lambda i, n: F.concat_ws(CUT, F.call_function("substring_index", F.get("ahead", i), F.lit(CUT), F.lit(1)), F.call_function("substring_index", F.get("ahead", i + 1), F.lit(CUT), n))
+    up_to_last = F.transform(apart, lambda i: F.transform(F.sequence(F.get(ends, i) + 1, F.get(ends, i + 1) - 1), lambda z: window(F.col("lead") + i, z, joined(i, z - i - F.col("lead")))))
+    size = F.struct((-F.col("n")).cast("long").alias("span"), F.xxhash64("of", "crc").alias("h"), F.lit(0).cast("long").alias("k"))
+    return rows.select("of", "crc", F.inline(F.concat(from_first, F.flatten(up_to_last), F.array(size))))
+
+
+def _frequent(rows: DataFrame, min_words: int) -> DataFrame:
+    """(h): runs that would be a notable share of one task's work, at most SHARE of them, going by each sixteenth row. They are dealt otherwise, with the same result."""
+    some = rows.where(F.pmod(F.xxhash64("of", "crc"), F.lit(16)) == 0)
+    several = written(_windows(some, min_words).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    limit = max(60, -(-several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // SHARE))
+    frequent = written(several.where(F.col("n") > limit).select("h"), "frequent")
+    discard(several)
+    return frequent
+
+
+def _runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(of, crc, n, found) for each (of, crc): the number of lines; the runs [a, z] of lines, counted from 0, that stand earlier too, in order. These runs do not touch."""
+    frequent = _frequent(rows, min_words)
+    windows = _windows(rows, min_words).join(F.broadcast(frequent.select("h", F.lit(True).alias("hot"))), "h", "left")
+    # The first position of a frequent run is first found in each of its parts.
+    windows = windows.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("crc", "of"), F.lit(PARTS))).otherwise(F.lit(0).cast("long")))
+    windows = windows.withColumn("nth", F.rank().over(Window.partitionBy("h", "k", "part").orderBy("of", "crc", "span")))
+    own = (F.col("span") >= 0) & F.coalesce("hot", F.lit(False)) & (F.col("nth") == 1)
+    seen = windows.where((F.col("span") < 0) | (F.col("nth") > 1) | F.col("hot"))
+    seen = written(seen.select("of", "crc", "span", F.when(own, F.col("h")).alias("h"), F.when(own, F.col("k")).alias("k")), "seen")
+    heads = seen.where("h is not null")
+    first = written(heads.groupBy("h", "k").agg(F.min(F.struct("of", "crc", "span")).alias("first")), "first")
+    heads = heads.join(F.broadcast(first), ["h", "k"]).where(F.struct("of", "crc", "span") != F.col("first"))
+    spans = seen.where("h is null").select("of", "crc", "span").unionByName(heads.select("of", "crc", "span"))
     # Rows that agree in id and text are one text.
-    met = lines.select("of", "crc", "h", "k", "w").join(shuffled(around), ["of", "crc"]).dropDuplicates(["of", "crc"])
-    # A row per line with a word; before a line with such a fingerprint stands a mark without words.
-    marks = "transform(around, a -> named_struct('i', a, 'line', 0, 'w', 0, 'h', CAST(NULL AS BIGINT), 'k', CAST(NULL AS BIGINT)))"
-    worded = "filter(transform(w, (n, i) -> named_struct('i', i, 'line', 1, 'w', n, 'h', get(h, i), 'k', get(k, i))), r -> r.w > 0)"
-    rows = met.select("of", "crc", F.expr(f"explode(concat({marks}, {worded}))").alias("p")).select("of", "crc", "p.*")
-    of_row = Window.partitionBy("of", "crc")
-    rows = rows.withColumn("c", F.coalesce(F.sum("w").over(of_row.orderBy("i", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A run's hash is the exclusive or of its lines' hashes, each turned by its place, and turned back by the first one's:
-    # it tells places apart and is an aggregate of fixed size. Runs have fewer lines than the hash has bits.
-    rows = rows.withColumn("x", _turned(F.col("h"), F.col("i"))).withColumn("y", _turned(F.xxhash64(F.lit(1), F.col("h")), F.col("i"))).withColumn("y", F.when(F.col("line") == 1, F.col("y")))
-    # The smallest run from a line: lines that begin less than the words asked for after it does.
-    ahead = of_row.orderBy("c").rangeBetween(0, min_words - 1)
-    rows = rows.select(*rows.columns, F.bit_xor("x").over(ahead).alias("x1"), F.bit_xor("y").over(ahead).alias("y1"), F.max("i").over(ahead).alias("z"), F.sum("w").over(ahead).alias("n"), F.min("line").over(ahead).alias("unmarked")).where("line = 1")
-    # The smallest run up to a line: lines that end less than that before it does. It holds the smallest run from its first line.
-    rows = rows.withColumn("d", F.col("c") + F.col("w"))
-    back = of_row.orderBy("d").rangeBetween(1 - min_words, 0)
-    rows = rows.select(*rows.columns, F.bit_xor("x").over(back).alias("x2"), F.bit_xor("y").over(back).alias("y2"), F.min("i").over(back).alias("a2"), F.sum("w").over(back).alias("n2"), F.first("unmarked").over(back).alias("unmarked2"))
-    # Where the run is one line, its second hash is the line's.
-    run = lambda x, y, a, z: F.struct(_turned(F.col(x), -F.col(a)).alias("h"), F.when(F.col(a) == F.col(z), F.col("k")).otherwise(_turned(F.col(y), -F.col(a))).alias("k"), F.col(a).alias("a"), F.col(z).alias("z"))
-    first_run = F.when((F.col("n") >= min_words) & (F.col("unmarked") == 0), run("x1", "y1", "i", "z"))
-    last_run = F.when((F.col("n2") - F.col("w") >= min_words) & (F.col("unmarked2") == 0), run("x2", "y2", "a2", "i"))
-    windows = rows.select("of", "crc", F.explode(F.filter(F.array(first_run, last_run), lambda r: r.isNotNull())).alias("p"))
-    windows = written(windows.select("of", "crc", "p.*"), "windows")
-    first = windows.groupBy("h", "k").agg(F.min(F.struct("of", "crc", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first, "first")
-    again = _several(windows, first, ["h", "k"])
-    spans = again.where((F.col("of") != F.col("first.of")) | (F.col("crc") != F.col("first.crc")) | (F.col("a") != F.col("first.a"))).select("of", "crc", "a", "z")
-    # All lines of a row's runs, in order; a run begins where the line before is none of them.
-    gone = F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda p: F.sequence(p["a"], p["z"])))))
-    by_row = spans.groupBy("of", "crc").agg(F.collect_list(F.struct("a", "z")).alias("spans")).select("of", "crc", gone.alias("gone"))
-    begins = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", F.greatest(i - 1, F.lit(0))) != x - 1))
-    ends = F.filter("gone", lambda x, i: F.coalesce(F.get("gone", i + 1) != x + 1, F.lit(True)))
-    found = written(by_row.select("of", "crc", F.arrays_zip(begins.alias("a"), ends.alias("z")).alias("found")), "runs")
-    discard(shared, windows, first)
+    by_row = spans.repartition("of", "crc").groupBy("of", "crc").agg((-F.min("span")).cast("int").alias("n"), F.sort_array(F.collect_set(F.when(F.col("span") >= 0, F.col("span")))).alias("spans"))
+    # A run begins after a line that is in none: spans that begin later end no earlier.
+    a, z = lambda p: F.shiftright(p, 32).cast("int"), lambda p: p.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    begins = F.filter("spans", lambda p, i: (i == 0) | (a(p) > z(F.get("spans", F.greatest(i - 1, F.lit(0)))) + 1))
+    ends = F.filter("spans", lambda p, i: F.coalesce(a(F.get("spans", i + 1)) > z(p) + 1, F.lit(True)))
+    pairs = F.arrays_zip(F.transform(begins, a).alias("a"), F.transform(ends, z).alias("z"))
+    found = written(by_row.select("of", "crc", "n", pairs.cast("array<struct<a:int,z:int>>").alias("found")), "found")
+    discard(frequent, seen, first)
     return found
 
 
@@ -152,14 +157,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     ``kept`` is the text without the lines of repeated runs of at least ``min_words`` words. An earlier row has a
     smaller id, a null id coming first; of rows with one id and different texts the one with the smaller CRC-32 is
     earlier, and rows that agree in both are one text and judged alike. A null text has no run and stays null; texts of
-    any length are cut whole; an empty table gives an empty result. Two hashes of 64 bits stand for a run's lines.
+    any length are cut whole, and the smallest runs of one text are held at once; an empty table gives an empty result.
+    Two hashes of 64 bits stand for a run's lines.
     """
     if not 0 < min_words < 64:
-        raise ValueError("min_words must be from 1 to 63: a run's lines are told apart by so many places")
-    lines = written(_lines(docs, id_col, text_col, min_words), "lines")
-    sizes = lines.select("of", "crc", F.size("h").alias("n")).distinct()
-    found = written(sizes.join(shuffled(_runs(lines, min_words)), ["of", "crc"], "left"), "found")
-    discard(lines)
+        raise ValueError("min_words must be from 1 to 63")
+    found = _runs(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")), min_words)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     joined = rows.join(shuffled(found), ["of", "crc"], "left")
     run = F.coalesce(F.col("found"), F.array().cast("array<struct<a:int,z:int>>"))

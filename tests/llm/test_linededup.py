@@ -173,3 +173,64 @@ def test_very_long_text(docs_of):
     part = " ".join(long.split(" ")[60_000:60_030])
     got = {x["row"]["doc_id"]: x["n_removed"] for x in linededup.dedup(docs_of([(1, long), (2, "x. " + part + " y."), (3, long)])).collect()}
     assert got == {1: 0, 2: 5, 3: 20_000}
+
+
+def test_keys_of_a_text(docs_of):
+    r = random.Random(4)
+    texts = ["", " ", "\n", " \n a", "a. ", "a.  \n b ", "a \r\n\r\n\tb", "a.\t\n", ". . .", "\x01a.\x01", "a" + " " * 70_000 + "b"]
+    texts += ["".join(r.choice(["a", "é", ".", "!", "?", " ", " ", "\n", "\t", "\r", "\x01"]) for _ in range(r.randrange(30))) for _ in range(3000)]
+    docs = docs_of(list(enumerate(texts)))
+    for x in docs.select("text", linededup.keys_of(docs.text).alias("keys")).collect():
+        assert x["keys"].split("\x01") == [k.strip(" \t\r\n") for k in split(x["text"])], x["text"][:40]
+
+
+def test_short_common_lines_are_not_compared_again(docs_of, monkeypatch):
+    """Texts that share lines but no run of enough words go through one shuffle and no more."""
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + ". "
+    rows = [(i, "".join(line(9) + f"common line {r.randrange(5)}. " for _ in range(10))) for i in range(300)] + [(300, "x. " * 30), (301, "x. " * 30)]
+    counts, real = {}, linededup.written
+
+    def counted(df, name):
+        counts[name] = (table := real(df, name)).count()
+        return table
+
+    monkeypatch.setattr(linededup, "written", counted)
+    got = {x["row"]["doc_id"]: x["n_removed"] for x in linededup.dedup(docs_of(rows)).collect()}
+    assert got == {i: 0 for i in range(300)} | {300: 29, 301: 30}
+    assert max(counts.values()) < 400
+
+
+@pytest.mark.parametrize("min_words", [1, 2, 7, 63])
+def test_other_sizes_of_runs(docs_of, min_words):
+    rows = corpus(11)
+    want = brute(rows, min_words)
+    for x in linededup.dedup(docs_of(rows), min_words=min_words).collect():
+        i, text = x["row"]["doc_id"], x["row"]["text"]
+        n, m, k, kept = want[NO_ID if i is None else i, zlib.crc32((text or "").encode())]
+        assert (x["n_lines"], x["n_removed"], x["n_runs"], x["kept"]) == (n, m, k, kept if k else text), i
+
+
+def test_frequent_runs_with_every_kind_of_end(docs_of, monkeypatch):
+    """Runs that are dealt in parts: copies that go on differently, within a text and after it."""
+    monkeypatch.setattr(linededup, "SHARE", 10**6)
+    r = random.Random(9)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + ". "
+    passage = [line(3) for _ in range(4)] + [line(24), line(2), line(2), line(15), line(30)]
+    rows = [(i, line(4) * r.randrange(3) + "".join(passage[: r.randrange(1, 10)]) + line(5) * r.randrange(2)) for i in range(2500)]
+    rows += rows[:5]
+    written, hot = linededup.written, []
+
+    def kept(df, name):
+        table = written(df, name)
+        if name == "frequent":
+            hot.append(table.count())
+        return table
+
+    monkeypatch.setattr(linededup, "written", kept)
+    want = brute(rows)
+    for x in linededup.dedup(docs_of(rows)).collect():
+        i, text = x["row"]["doc_id"], x["row"]["text"]
+        n, m, k, left = want[i, zlib.crc32(text.encode())]
+        assert (x["n_lines"], x["n_removed"], x["n_runs"], x["kept"]) == (n, m, k, left if k else text), i
+    assert hot[0] > 0
